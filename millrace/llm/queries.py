@@ -11,7 +11,9 @@ from .exact import exact_dedup
 from .fingerprints import fingerprint
 from .licenses import scan_licenses
 from .mixing import mix_sources
+from .neardup import near_duplicates
 from .packing import pack_documents
+from .repeats import find_repeats
 from .tokenids import pack_token_ids
 from .toxicity import score_toxicity
 
@@ -28,6 +30,14 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), capacity=2048)
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_repeats(_read(spark, sf_dir, "documents"), min_words=50, block=25)
+
+
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"), count="copies")
 
@@ -55,7 +65,9 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan,
     "op2_packing": packing,
+    "op3_substring_dedup": substring_dedup,
     "op4_exact_dedup": dedup_exact,
+    "op5_minhash_near_dedup": minhash_near_dedup,
     "op6_token_ids": token_ids,
     "op7_chat_format": chat_format,
     "op8_mixing": mixing,
