@@ -208,7 +208,7 @@ def connected(pairs: DataFrame) -> DataFrame:
     while True:
         # large star: every larger neighbour of a node is tied to the node's least neighbour
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         e2 = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node and its smaller neighbours are tied to the least of them
         e2 = e2.distinct()
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 
 def near_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, one for each group, with all their columns. Of rows with equal
-    key and text one stays, unless the text has no words."""
+    key and text one stays."""
     groups = near_groups(docs, key=key, text=text, **how)
     name = "id"
     while name in docs.columns:
