@@ -107,10 +107,13 @@ class ToxicityModel:
     k: int
     knots: tuple[np.ndarray, np.ndarray]
     none_rate: float
+    background: float
 
-    def weigh(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(tf)) * self.idf[terms]
-        return (w / np.sqrt((w * w).sum())).astype(np.float32)
+    def vector(self, terms: np.ndarray, tf: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a text's unit vector. Its words as a whole are the last term, so that the share of known
+        terms in a text sets its direction: a long text with one chance hit isn't near a short one full of them."""
+        w = np.r_[tf * self.idf[terms], self.background * words]
+        return np.r_[terms, len(self.idf)], (w / np.sqrt((w * w).sum())).astype(np.float32)
 
     def vote(self, terms: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
         rows, cos = self.index.search(terms, weights, self.k, without)
@@ -139,7 +142,8 @@ def fit_toxicity(
     max_labelled: int = 20_000,
     max_terms: int = 1_024,
     min_support: int = 4,
-    min_evidence: float = 20.0,
+    min_evidence: float = 12.0,
+    background: float = 0.06,
     k: int = 15,
     key: str = "doc_id",
     text: str = "text",
@@ -150,8 +154,8 @@ def fit_toxicity(
     At most ``max_labelled`` labelled documents are used: those of the least hashed id. Of labelled near copies (same
     minwise word hash and label) one is used. Terms are words and word beginnings that at least ``min_support`` toxic
     examples have, whose log-likelihood ratio against the label is at least ``min_evidence`` and that favour toxicity;
-    at most ``max_terms``. Inverse document frequencies count all documents. Votes are calibrated by leaving each
-    example out of its own neighbours.
+    at most ``max_terms``. All words of a text together are one more term, of idf 1, weighted by ``background``. Inverse
+    document frequencies count all documents. Votes are calibrated by leaving each example out of its own neighbours.
     """
     spark = docs.sparkSession
     q = lambda c: F.col(f"`{c}`")
@@ -230,15 +234,15 @@ def fit_toxicity(
 
     def examples(batches):
         for b in slices(batches, "text"):
-            owner, term, tf, _, _ = _vectors(b.column(1), sent.value)
-            for i, (doc, y) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
-                m = owner == i
-                yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([y], pa.int32()), pa.array([term[m].tolist()], pa.list_(pa.int64())), pa.array([tf[m].tolist()], pa.list_(pa.int64()))], names=["doc_id", "y", "t", "f"])
-
-    found = {r[0]: r for r in d.join(F.broadcast(ids_used), "doc_id").mapInArrow(examples, "doc_id long, y int, t array<long>, f array<long>").collect()}
-    model = ToxicityModel(lookup, idf, None, k, (np.array([0.0]), np.array([0.0])), 0.0)  # type: ignore[arg-type]
-    some = [(i, y, np.array(t), model.weigh(np.array(t), np.array(f))) for i, y, t, f in sorted(found.values()) if t]
-    vectors = np.zeros((len(some), len(hashes)), np.float32)
+            owner, term, tf, words, _ = _vectors(b.column(1), sent.value)
+            cuts = np.searchsorted(owner, np.arange(b.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int64))) for x in (term, tf)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *lists, pa.array(words.counts())], names=["doc_id", "y", "t", "f", "n"])
+
+    found = {r[0]: r for r in d.join(F.broadcast(ids_used), "doc_id").mapInArrow(examples, "doc_id long, y int, t array<long>, f array<long>, n long").collect()}
+    model = ToxicityModel(lookup, idf, None, k, (np.array([0.0]), np.array([0.0])), 0.0, background)  # type: ignore[arg-type]
+    some = [(i, y, *model.vector(np.array(t), np.array(f), n)) for i, y, t, f, n in sorted(found.values()) if t]
+    vectors = np.zeros((len(some), len(hashes) + 1), np.float32)
     for j, (_, _, t, w) in enumerate(some):
         vectors[j, t] = w
     model.index = BlockMaxIndex(vectors, np.array([s[0] for s in some], np.int64), np.array([s[1] for s in some], np.float32))
@@ -286,15 +290,16 @@ def _scores(model: ToxicityModel | None, ids: pa.Array, texts: pa.Array, known:
     evidence: list[list[str]] = [[]] * n
     if model is None:
         return score, terms, evidence
-    owner, term, tf, _, shown = _vectors(texts, model.lookup)
+    owner, term, tf, words, shown = _vectors(texts, model.lookup)
+    counts, members = words.counts(), set(model.index.ids.tolist())
     cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
     for a, z in zip(cuts, np.r_[cuts[1:], len(owner)]):
         i, t = int(owner[a]), term[a:z]
         own = ids[i].as_py()
-        mark = t.tobytes() + tf[a:z].tobytes() if own is None or own not in model.index.ids else b""
+        mark = t.tobytes() + tf[a:z].tobytes() + counts[i].tobytes() if own is None or own not in members else b""
         hit = known.get(mark) if mark else None
         if hit is None:
-            vote, rows, cos = model.vote(t, model.weigh(t, tf[a:z]), without=own)
+            vote, rows, cos = model.vote(*model.vector(t, tf[a:z], int(counts[i])), without=own)
             names = [f"{model.index.ids[r]} {'toxic' if model.index.labels[r] else 'clean'} {c:.4f}" for r, c in zip(rows, cos)]
             hit = (model.calibrated(vote) if len(rows) else model.none_rate, names)
             if mark and len(known) < 100_000:
