@@ -5,6 +5,392 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .functions import cleaning, dates, gazetteers, health_numbers, known_names, linkage, person_names
+from .functions.checks import q
+from .operators import balance, boost, crosstab, routing, summary, typing, uniqueness
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# summaries
+
+_LEVELS = "SELECT row_number() OVER (ORDER BY {order}) AS ord, level, n, round(n / sum(n) OVER (), 6) AS share, is_other, n::VARCHAR || ' (' || printf('%.1f', 100.0 * n / sum(n) OVER ()) || '%)' AS cell FROM ({source})"
+
+
+def _levels(df: DataFrame) -> DataFrame:
+    return df.withColumn("ord", F.col("ord").cast("long")).withColumn("share", F.round("share", 6))
+
+
+@query(_LEVELS.format(order="n DESC, level", source="SELECT o_orderpriority AS level, count(*) AS n, false AS is_other FROM orders GROUP BY 1"))
+def cat_summary_desc(spark, sf_dir):
+    return _levels(summary.category_levels(_table(spark, sf_dir, "orders"), "o_orderpriority"))
+
+
+@query(_LEVELS.format(order="is_other, level", source="WITH c AS (SELECT p_type AS v, count(*) AS n FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, v) AS k FROM c) SELECT CASE WHEN k <= 3 THEN v ELSE 'Other' END AS level, sum(n)::BIGINT AS n, k > 3 AS is_other FROM r GROUP BY 1, 3"))
+def cat_summary_topn(spark, sf_dir):
+    return _levels(summary.category_levels(_table(spark, sf_dir, "part"), "p_type", top_n=3, sort_levels="alpha"))
+
+
+@query(_LEVELS.format(order="n, level", source="SELECT coalesce(nullif(p_brand, 'Brand#2'), 'Missing') AS level, count(*) AS n, false AS is_other FROM part GROUP BY 1"))
+def cat_summary_missing(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").withColumn("p_brand", F.nullif("p_brand", F.lit("Brand#2")))
+    return _levels(summary.category_levels(part, "p_brand", sort_levels="asc"))
+
+
+@query("""
+    WITH c AS (SELECT o_orderstatus AS v, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT sum(n) AS t FROM c)
+    SELECT 'Count n(%)' AS status,
+           max(CASE WHEN v = 'F' THEN n::VARCHAR || ' (' || printf('%.1f', 100.0 * n / t) || '%)' END) AS "F",
+           max(CASE WHEN v = 'O' THEN n::VARCHAR || ' (' || printf('%.1f', 100.0 * n / t) || '%)' END) AS "O",
+           max(CASE WHEN v = 'P' THEN n::VARCHAR || ' (' || printf('%.1f', 100.0 * n / t) || '%)' END) AS "P",
+           max(t)::BIGINT::VARCHAR || ' (100.0%)' AS "Total"
+    FROM c, t""")
+def cat_summary_wide(spark, sf_dir):
+    return summary.category_summary(_table(spark, sf_dir, "orders"), "o_orderstatus", "status", sort_levels="alpha")
+
+
+_CONT = "SELECT count(*) AS n, count(*) FILTER (x IS NULL) AS missing, count(x) AS non_missing, count(*) FILTER (isinf(x)) AS non_finite, count(f) AS analyzed, round(avg(f), 4) AS mean, round(stddev_samp(f), 4) AS sd, round(median(f), 4) AS median, round(min(f), 4) AS min, round(max(f), 4) AS max, round(quantile_cont(f, 0.05), 4) AS p5, round(quantile_cont(f, 0.25), 4) AS q1, round(quantile_cont(f, 0.9), 4) AS p90 FROM (SELECT x, CASE WHEN isinf(x) THEN NULL ELSE x END AS f FROM ({source}))"
+
+
+def _cont(df: DataFrame, column: str) -> DataFrame:
+    s = summary.continuous_stats(df, column)
+    at = {f"{p:g}": i for i, p in enumerate(summary.PROBS)}
+    return s.select("n", "missing", "non_missing", "non_finite", "analyzed", *[F.round(c, 4).alias(c) for c in ("mean", "sd", "median", "min", "max")], *[F.round(F.col("quantiles")[at[p]], 4).alias(name) for p, name in (("0.05", "p5"), ("0.25", "q1"), ("0.9", "p90"))])
+
+
+@query(_CONT.format(source="SELECT l_extendedprice AS x FROM lineitem"))
+def cont_stats(spark, sf_dir):
+    return _cont(_table(spark, sf_dir, "lineitem"), "l_extendedprice")
+
+
+@query(_CONT.format(source="SELECT CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'inf'::DOUBLE ELSE value END AS x FROM events"))
+def cont_missing_nonfinite(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    x = F.when(F.col("event_id") % 7 == 0, None).when(F.col("event_id") % 11 == 0, float("inf")).otherwise(F.col("value"))
+    return _cont(e.withColumn("x", x), "x")
+
+
+@query("""
+    SELECT 'balance' AS "Variable", printf('%.2f', avg(c_acctbal)) || ' (' || printf('%.2f', stddev_samp(c_acctbal)) || ')' AS "Mean_SD",
+           printf('%.2f', median(c_acctbal)) AS "Median", printf('%.2f', min(c_acctbal)) || ' - ' || printf('%.2f', max(c_acctbal)) AS "Min_Max",
+           printf('%.2f', quantile_cont(c_acctbal, 0.25)) AS "Q1", printf('%.2f', quantile_cont(c_acctbal, 0.9)) AS "P90",
+           count(*) FILTER (c_acctbal IS NULL) AS "Missing", count(*) AS "N", count(c_acctbal) AS "NonMissing", 0.0::DOUBLE AS "MissingPct", 0::BIGINT AS "NonFinite", count(*) AS "Analyzed"
+    FROM customer""")
+def cont_summary(spark, sf_dir):
+    return summary.continuous_summary(_table(spark, sf_dir, "customer"), "c_acctbal", "balance", probs=[0.25, 0.9])
+
+
+_CROSS = """
+    WITH c AS (SELECT {r} AS row_level, {c} AS col_level, count(*) AS n FROM {t} GROUP BY 1, 2),
+         g AS (SELECT r.row_level, k.col_level, coalesce(n, 0) AS n FROM (SELECT DISTINCT row_level FROM c) r CROSS JOIN (SELECT DISTINCT col_level FROM c) k LEFT JOIN c USING (row_level, col_level)),
+         m AS (SELECT coalesce(row_level, 'Total') AS row_level, coalesce(col_level, 'Total') AS col_level, sum(n)::BIGINT AS n, grouping(row_level) AS gr, grouping(col_level) AS gc FROM g GROUP BY CUBE (row_level, col_level)),
+         s AS (SELECT m.*, {share} AS share FROM m WHERE {keep})
+    SELECT row_level, col_level, n, round(share, 6) AS share, {cell} AS cell FROM s"""
+_CELL = "n::VARCHAR || ' (' || printf('%.1f', 100.0 * share) || '%)'"
+_SUM = {"row": "n / (SELECT sum(n) FROM g WHERE gr = 1 OR g.row_level = m.row_level)", "column": "n / (SELECT sum(n) FROM g WHERE gc = 1 OR g.col_level = m.col_level)", "total": "n / (SELECT sum(n) FROM g)", "none": "NULL::DOUBLE"}
+
+
+def _cross(percent: str, keep: str = "true") -> str:
+    return _CROSS.format(r="o_orderstatus", c="o_orderpriority", t="orders", share=_SUM[percent], keep=keep, cell="n::VARCHAR" if percent == "none" else _CELL)
+
+
+def _crosstab(spark, sf_dir, percent: str, include_total: bool = True) -> DataFrame:
+    out = crosstab.crosstab_long(_table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority", percent=percent, include_total=include_total)
+    return out.select("row_level", "col_level", "n", F.round("share", 6).alias("share"), "cell")
+
+
+@query(_cross("row", "gr = 0 AND gc = 0"))
+def crosstab_row(spark, sf_dir):
+    return _crosstab(spark, sf_dir, "row", False)
+
+
+@query(_cross("row"))
+def crosstab_row_margins(spark, sf_dir):
+    return _crosstab(spark, sf_dir, "row")
+
+
+@query(_cross("column"))
+def crosstab_column(spark, sf_dir):
+    return _crosstab(spark, sf_dir, "column")
+
+
+@query(_cross("total"))
+def crosstab_total(spark, sf_dir):
+    return _crosstab(spark, sf_dir, "total")
+
+
+@query(_cross("none"))
+def crosstab_none(spark, sf_dir):
+    return _crosstab(spark, sf_dir, "none")
+
+
+@query("""
+    WITH c AS (SELECT o_orderpriority AS p, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1, 2)
+    SELECT p AS o_orderpriority, sum(n) FILTER (s = 'F')::BIGINT::VARCHAR AS "F", sum(n) FILTER (s = 'O')::BIGINT::VARCHAR AS "O", sum(n) FILTER (s = 'P')::BIGINT::VARCHAR AS "P" FROM c GROUP BY 1""")
+def crosstab_wide(spark, sf_dir):
+    return crosstab.cross_table(_table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", percent="none", include_total=False)
+
+
+# balance
+
+_ROUND = "round({0}, 4) AS {1}"
+_BALANCE_CONT = """
+    WITH a AS (SELECT count({x}) AS n, {mean} AS mean, {sd} AS sd FROM {a}), b AS (SELECT count({x}) AS n, {mean} AS mean, {sd} AS sd FROM {b})
+    SELECT '{x}' AS variable, 'continuous' AS type, NULL::VARCHAR AS level, NULL::DOUBLE AS prop1, NULL::DOUBLE AS prop2, round(b.mean - a.mean, 4) AS diff,
+           a.n AS n1, round(a.mean, 4) AS mean1, round(a.sd, 4) AS sd1, b.n AS n2, round(b.mean, 4) AS mean2, round(b.sd, 4) AS sd2,
+           round((b.mean - a.mean) / sqrt((a.sd * a.sd + b.sd * b.sd) / 2), 4) AS smd,
+           0::BIGINT AS miss_n1, 0.0::DOUBLE AS miss_pct1, 0::BIGINT AS miss_n2, 0.0::DOUBLE AS miss_pct2 FROM a, b"""
+_WEIGHTED = {"mean": "sum(l_quantity * l_extendedprice) / sum(l_quantity)", "sd": "sqrt(greatest(0, sum(l_quantity * l_extendedprice * l_extendedprice) / sum(l_quantity) - pow(sum(l_quantity * l_extendedprice) / sum(l_quantity), 2)))"}
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({f.name: F.round(f.name, 4) for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)})
+
+
+def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    o = _table(spark, sf_dir, "orders")
+    return o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'O'")
+
+
+@query(_BALANCE_CONT.format(x="o_totalprice", mean="avg(o_totalprice)", sd="stddev_samp(o_totalprice)", a="orders WHERE o_orderstatus = 'F'", b="orders WHERE o_orderstatus = 'O'"))
+def balance_continuous(spark, sf_dir):
+    return _rounded(balance.compare_balance(*_halves(spark, sf_dir), ["o_totalprice"], include_smd=True, digits=None))
+
+
+@query(_BALANCE_CONT.format(x="l_extendedprice", a="lineitem WHERE l_returnflag = 'A'", b="lineitem WHERE l_returnflag = 'R'", **_WEIGHTED))
+def balance_weighted(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem")
+    return _rounded(balance.compare_balance(li.filter("l_returnflag = 'A'"), li.filter("l_returnflag = 'R'"), ["l_extendedprice"], weights1="l_quantity", weights2="l_quantity", include_smd=True, digits=None))
+
+
+@query("""
+    WITH a AS (SELECT o_orderpriority AS level, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_orderpriority AS level, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
+         j AS (SELECT level, coalesce(a.n, 0) / (SELECT sum(n) FROM a) AS p1, coalesce(b.n, 0) / (SELECT sum(n) FROM b) AS p2 FROM a FULL JOIN b USING (level))
+    SELECT 'o_orderpriority' AS variable, 'categorical' AS type, level, round(p1, 4) AS prop1, round(p2, 4) AS prop2, round(p2 - p1, 4) AS diff,
+           (SELECT sum(n) FROM a)::BIGINT AS n1, NULL::DOUBLE AS mean1, NULL::DOUBLE AS sd1, (SELECT sum(n) FROM b)::BIGINT AS n2, NULL::DOUBLE AS mean2, NULL::DOUBLE AS sd2,
+           0::BIGINT AS miss_n1, 0.0::DOUBLE AS miss_pct1, 0::BIGINT AS miss_n2, 0.0::DOUBLE AS miss_pct2 FROM j""")
+def balance_categorical(spark, sf_dir):
+    return _rounded(balance.compare_balance(*_halves(spark, sf_dir), ["o_orderpriority"], digits=None))
+
+
+# uniqueness and duplicates
+
+
+@query("SELECT 'l_orderkey' AS var, (SELECT count(*) FROM lineitem) AS n_rows, 0::BIGINT AS n_missing, count(*) AS n_unique, bool_and(n = 1) AS is_unique, list(k ORDER BY k) FILTER (n > 1) AS duplicates FROM (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)")
+def check_unique(spark, sf_dir):
+    return uniqueness.check_unique(_table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+@query("SELECT count(DISTINCT c_mktsegment) AS n FROM customer")
+def count_categories(spark, sf_dir):
+    return uniqueness.count_unique_categories(_table(spark, sf_dir, "customer"), "c_mktsegment")
+
+
+@query("SELECT count(DISTINCT nullif(p_brand, 'Brand#1')) + 1 AS n FROM part")
+def count_categories_missing(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").withColumn("p_brand", F.nullif("p_brand", F.lit("Brand#1")))
+    return uniqueness.count_unique_categories(part, "p_brand", include_missing=True)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN count(*) OVER (PARTITION BY l_partkey, l_suppkey) >= 3 THEN (count(*) OVER (PARTITION BY l_partkey, l_suppkey))::VARCHAR END AS n FROM lineitem")
+def duplicates_keep_all(spark, sf_dir):
+    out = uniqueness.get_duplicates(_table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", min_n=3)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", q(".n").cast("string").alias("n"))
+
+
+@query("SELECT l_partkey, l_suppkey, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 2")
+def duplicates_counts(spark, sf_dir):
+    return uniqueness.get_duplicates(_table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", keep_all=False, count_col="copies")
+
+
+@query("SELECT text, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) >= 2")
+def duplicates_text(spark, sf_dir):
+    return uniqueness.get_duplicates(_table(spark, sf_dir, "documents"), "text", keep_all=False, count_col="copies", sort=False)
+
+
+@query("SELECT * FROM (VALUES ('event_id', 'continuous'), ('ts', 'date'), ('user_id', 'continuous'), ('event_type', 'categorical'), ('value', 'continuous'), ('props', 'categorical')) t(column_name, data_class)")
+def data_types(spark, sf_dir):
+    return typing.data_type_table(_table(spark, sf_dir, "events"))
+
+
+# cleaning and derivation
+
+
+@query('SELECT c_custkey AS "Customer_Key_1", c_name AS "CustomersName" FROM customer')
+def fix_colnames(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("Customer Key (1)"), F.col("c_name").alias("Customer's-Name"))
+    return cleaning.fix_column_names(c)
+
+
+@query("SELECT doc_id, translate(text, '''’\"“”`', '') AS text, lang, source, n_chars FROM documents")
+def quote_strip(spark, sf_dir):
+    return cleaning.strip_quotes(_table(spark, sf_dir, "documents"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y_%m_%d') AS underscore, strftime(o_orderdate, '%Y%m%d') AS compact FROM orders")
+def today_labels(spark, sf_dir):
+    a, b = cleaning.date_labels(F.col("o_orderdate").cast("date"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", a.alias("underscore"), b.alias("compact"))
+
+
+def _people(spark, sf_dir) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.concat(F.lit("O'"), F.col("o_orderpriority")).alias("first"), F.col("o_orderstatus").alias("last1"), F.concat(F.lit("st-"), F.col("o_orderstatus")).alias("last"), F.date_format(F.col("o_orderdate"), "yyyy-MM-dd").alias("dob"), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise("female").alias("gender"))
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'Invalid SID' ELSE upper(substr(regexp_replace('O''' || o_orderpriority, '[^A-Za-z]', '', 'g'), 1, 2)) || upper(substr(regexp_replace('st-' || o_orderstatus, '[^A-Za-z]', '', 'g'), 1, 2)) || strftime(o_orderdate, '%Y%m%d') || 'F' END AS sid FROM orders""")
+def sid(spark, sf_dir):
+    return _people(spark, sf_dir).select("o_orderkey", linkage.linkage_id(F.col("first"), F.col("last"), F.col("dob"), F.col("gender"), dob_type=T.StringType()).alias("sid"))
+
+
+_FORMS = ["yyyy-MM-dd", "MM/dd/yyyy", "yyyy.MM.dd", "yyyyMMdd", "d MMM yyyy", "MMMM d, yyyy", "yyyy/MM/dd HH:mm"]
+
+
+def _date_text(spark, sf_dir) -> DataFrame:
+    o = _table(spark, sf_dir, "orders").withColumn("d", F.col("o_orderdate").cast("timestamp"))
+    text = F.lit(None).cast("string")
+    for i, form in enumerate(_FORMS):
+        text = F.when(F.col("o_orderkey") % 8 == i, F.date_format("d", form)).otherwise(text)
+    return o.select("o_orderkey", F.when(F.col("o_orderkey") % 8 == 7, "n/a").otherwise(text).alias("x"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 7 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders")
+def todate_text(spark, sf_dir):
+    return _date_text(spark, sf_dir).select("o_orderkey", dates.to_date(F.col("x"), T.StringType()).cast("string").alias("d"))
+
+
+@query("""
+    SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate::DATE WHEN o_orderkey % 4 = 1 THEN DATE '1899-12-30' + (40000 + o_orderkey % 9000)::INTEGER
+           WHEN o_orderkey % 4 = 2 THEN (TIMESTAMP '1970-01-01' + to_seconds(1000000000 + o_orderkey * 86400 % 700000000))::DATE ELSE DATE '1970-01-01' + (o_orderkey % 20000)::INTEGER END, '%Y-%m-%d') AS d FROM orders""")
+def todate_numeric(spark, sf_dir):
+    o, k = _table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    compact = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyyMMdd").cast("double")
+    x = F.when(k % 4 == 0, compact).when(k % 4 == 1, 40000 + k % 9000).when(k % 4 == 2, 1_000_000_000 + k * 86400 % 700_000_000).otherwise(k % 20000)
+    return o.select("o_orderkey", dates.to_date(x.cast("double"), T.DoubleType()).cast("string").alias("d"))
+
+
+@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM events")
+def todatetime(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    text = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "dd/MM/yyyy HH:mm:ss")).otherwise(F.date_format("ts", "d MMM yyyy HH:mm:ss"))
+    return e.select("event_id", F.date_format(dates.to_datetime(text, T.StringType(), day_first=True), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS order_date, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS created_at, o_orderpriority AS note FROM orders")
+def boost_detect(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").withColumn("d", F.col("o_orderdate").cast("timestamp"))
+    raw = o.select("o_orderkey", F.date_format("d", "yyyy-MM-dd").alias("order_date"), F.date_format("d", "yyyy-MM-dd HH:mm:ss").alias("created_at"), F.col("o_orderpriority").alias("note"))
+    return boost.boost_data(raw, verbose=False).withColumns({"order_date": F.date_format("order_date", "yyyy-MM-dd"), "created_at": F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")})
+
+
+# private text
+
+
+def _phn_text(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey")
+    nine = F.lpad(k.cast("string"), 9, "1")
+    text = F.when(k % 4 == 0, F.concat(F.lit("PHN: "), nine, F.lit(" seen"))).when(k % 4 == 1, F.concat(F.lit("No label "), nine)).when(k % 4 == 2, F.concat(F.lit("called, "), nine, F.lit(" is the PHN"))).otherwise(F.concat(F.lit("SPHN "), nine))
+    return _table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'PHN: [PHN] seen' WHEN 1 THEN 'No label ' || lpad(c_custkey::VARCHAR, 9, '1') WHEN 2 THEN 'called, [PHN] is the PHN' ELSE 'SPHN ' || lpad(c_custkey::VARCHAR, 9, '1') END AS masked FROM customer")
+def phn_mask(spark, sf_dir):
+    return _phn_text(spark, sf_dir).select("c_custkey", health_numbers.mask_phn(F.col("text")).alias("masked"))
+
+
+@query("SELECT c_custkey, (c_custkey % 4 IN (0, 2))::INTEGER AS flag FROM customer")
+def phn_flag(spark, sf_dir):
+    return _phn_text(spark, sf_dir).select("c_custkey", health_numbers.flag_phn(F.col("text")).alias("flag"))
+
+
+def _notes(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey")
+    first = F.element_at(F.array(*[F.lit(x) for x in ("Jonathan", "Alice", "Sarah", "Margaret")]), (k % 4 + 1).cast("int"))
+    last = F.element_at(F.array(*[F.lit(x) for x in ("Tremblay", "Martin", "Johnson")]), (k % 3 + 1).cast("int"))
+    text = F.when(k % 5 == 0, F.concat(first, F.lit(" "), last, F.lit(" called."))).when(k % 5 == 1, F.concat(F.lit("Reviewed by Dr. "), last, F.lit(" today."))).when(k % 5 == 2, F.concat(F.lit("spoke to "), F.substring(first, 1, 2), F.lit("x"), F.substring(first, 4, 20), F.lit(" again."))).when(k % 5 == 3, "Heart rate was normal.").otherwise("Vancouver, BC and Edmonton Airport.")
+    return _table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"), first.alias("first_name"), last.alias("last_name"))
+
+
+_NAMES = "WITH p AS (SELECT c_custkey, list_element(['Jonathan', 'Alice', 'Sarah', 'Margaret'], c_custkey % 4 + 1) AS f, list_element(['Tremblay', 'Martin', 'Johnson'], c_custkey % 3 + 1) AS l FROM customer) "
+
+
+@query(_NAMES + "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '[NAME] called.' WHEN 1 THEN 'Reviewed by Dr. [NAME] today.' WHEN 2 THEN 'spoke to [NAME] again.' WHEN 3 THEN 'Heart rate was normal.' ELSE 'Vancouver, BC and Edmonton Airport.' END AS masked FROM p")
+def known_mask(spark, sf_dir):
+    return known_names.mask_known_names(_notes(spark, sf_dir), "text", output="masked").select("c_custkey", "masked")
+
+
+@query("SELECT c_custkey, (c_custkey % 5 < 3)::INTEGER AS flag FROM customer")
+def known_flag(spark, sf_dir):
+    return known_names.flag_known_names(_notes(spark, sf_dir), "text", output="flag").select("c_custkey", "flag")
+
+
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '[NAME] called.' WHEN 1 THEN 'Reviewed by [NAME] today.' WHEN 2 THEN 'spoke to ' || n || ' again.' WHEN 3 THEN 'Heart rate was normal.' ELSE 'Vancouver, BC and Edmonton Airport.' END AS masked FROM (SELECT c_custkey, list_element(['Joxathan', 'Alxce', 'Saxah', 'Maxgaret'], c_custkey % 4 + 1) AS n FROM customer)")
+def name_mask(spark, sf_dir):
+    return person_names.mask_person_names(_notes(spark, sf_dir), "text", output="masked").select("c_custkey", "masked")
+
+
+@query("SELECT c_custkey, (c_custkey % 5 < 2)::INTEGER AS flag FROM customer")
+def name_flag(spark, sf_dir):
+    return person_names.flag_person_names(_notes(spark, sf_dir), "text", output="flag").select("c_custkey", "flag")
+
+
+@query(_NAMES + "SELECT c_custkey AS row_id, CASE c_custkey % 5 WHEN 0 THEN f || ' ' || l ELSE 'Dr. ' || l END AS detected_name, CASE c_custkey % 5 WHEN 0 THEN 1 ELSE 13 END AS start, CASE c_custkey % 5 WHEN 0 THEN length(f || ' ' || l) ELSE 16 + length(l) END AS \"end\", CASE c_custkey % 5 WHEN 0 THEN 'title_case_pair' ELSE 'titled_name' END AS rule, CASE c_custkey % 5 WHEN 0 THEN 'low' ELSE 'high' END AS confidence FROM p WHERE c_custkey % 5 < 2")
+def name_detect(spark, sf_dir):
+    return person_names.detect_person_names(_notes(spark, sf_dir), "text", "c_custkey", explain=True)
+
+
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '[NAME] called.' WHEN 1 THEN 'Reviewed by [NAME] today.' WHEN 2 THEN 'spoke to ' || n || ' again.' WHEN 3 THEN 'Heart rate was normal.' ELSE 'Vancouver, BC and Edmonton Airport.' END AS masked FROM (SELECT c_custkey, list_element(['Joxathan', 'Alxce', 'Saxah', 'Maxgaret'], c_custkey % 4 + 1) AS n FROM customer)")
+def name_mask_balanced(spark, sf_dir):
+    return person_names.mask_person_names(_notes(spark, sf_dir), "text", sensitivity="balanced", output="masked").select("c_custkey", "masked")
+
+
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN f || ' ' || l || ' called.' WHEN 1 THEN 'Reviewed by [NAME] today.' WHEN 2 THEN 'spoke to ' || list_element(['Joxathan', 'Alxce', 'Saxah', 'Maxgaret'], c_custkey % 4 + 1) || ' again.' WHEN 3 THEN 'Heart rate was normal.' ELSE 'Vancouver, BC and Edmonton Airport.' END AS masked FROM p".join([_NAMES, ""]))
+def name_rules(spark, sf_dir):
+    return person_names.apply_name_rules(_notes(spark, sf_dir), "text", output="masked").select("c_custkey", "masked")
+
+
+@query()
+def name_flag_documents(spark, sf_dir):
+    return person_names.flag_person_names(_table(spark, sf_dir, "documents"), "text").select("doc_id", "name_flag")
+
+
+# routes and registers
+
+
+@query("""
+    SELECT s_suppkey, CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE round(abs((s_suppkey % 7) - 3.5) * 1000 + s_nationkey * 10, 3) END AS travel_distance,
+           CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE round(abs((s_suppkey % 7) - 3.5) * 100, 3) END AS travel_time FROM supplier""")
+def travel_lookup(spark, sf_dir):
+    s = _table(spark, sf_dir, "supplier")
+    trips = s.select("s_suppkey", F.when(F.col("s_suppkey") % 13 == 0, 95.0).otherwise((F.col("s_suppkey") % 7).cast("double")).alias("a"), F.lit(0.0).alias("b"), F.lit(3.5).alias("c"), F.col("s_nationkey").cast("double").alias("d"))
+    out = routing.travel(trips, "a", "b", "c", "d", route=lambda lo0, la0, lo1, la1: (abs(la0 - la1) * 1000 + lo1 * 10, abs(la0 - la1) * 100), delay=0)
+    return out.select("s_suppkey", F.round("travel_distance", 3).alias("travel_distance"), F.round("travel_time", 3).alias("travel_time"))
+
+
+@query("SELECT * FROM (VALUES ('Cities', 19), ('Specialized municipalities', 6), ('Municipal districts', 63), ('Towns', 105), ('Villages', 80), ('Summer villages', 51), ('Improvement districts', 7), ('Special Areas', 3)) t(category, n)")
+def municipality_register(spark, sf_dir):
+    return gazetteers.municipalities(spark).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 1150 AS n")
+def facility_register(spark, sf_dir):
+    return gazetteers.health_facilities(spark).agg(F.countDistinct("name").alias("n"))

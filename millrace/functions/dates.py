@@ -5,13 +5,12 @@ time is ignored; AM and PM are ignored unless ``honor_ampm``. Shapes are tried w
 dates alone; in each round year-first before the ambiguous ones before month names. Dropping an offset also takes the
 year from a dash date that ends in it ("05-01-2024"), which then is null; with a time it parses.
 Numbers ("auto"): YYYYMMDD, YYYYMMDDHHMM, YYYYMMDDHHMMSS; Unix seconds from 1e8; Excel days 30000 to 60000; days since
-1970 above -100000 and below 30000. All of it is built-in expressions, so plans stay inside code generation.
+1970 above -100000 and below 30000. All of it is built-in expressions on the JVM; parts that are used more than once are
+bound in a higher-order function, which keeps the plan small.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,37 +51,58 @@ def _make(y: Column, m: Column, d: Column, h: Column, mi: Column, s: Column) ->
     return F.try_make_timestamp(y, m, d, h, mi, s)
 
 
-def local_from_text(text: Column, *, day_first: bool = False, honor_ampm: bool = False) -> Column:
-    """Wall-clock timestamp (in UTC) of text, without the numeric shapes."""
-    t = F.btrim(text)
-    t = F.btrim(F.regexp_replace(F.regexp_replace(t, "Z$", ""), "([+-][0-9]{2}:?[0-9]{2})$", ""))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _first(tries: Column) -> Column:
+    return F.get(F.filter(tries, lambda x: x.isNotNull()), F.lit(0))
+
+
+def _shapes(t: Column, day_first: bool) -> Column:
+    """Array of (y, m, d, rest, iso, compact), null where a text hasn't the shape."""
     lead = r"(?s)^\s*"
-    ymd = _parts(t, lead + r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(.*)$", 1, 3, 4, 5)
-    compact = _parts(t, lead + r"(\d{4})(\d{2})(\d{2})(?=$|[T\s])(.*)$", 1, 2, 3, 4)
     either = lead + r"(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(.*)$"
-    mdy, dmy = _parts(t, either, 4, 1, 3, 5), _parts(t, either, 4, 3, 1, 5)
-    named = _parts(t, lead + rf"(\d{{1,2}})(?:-|\s*)({_MONTH})(?:-|\s*)(\d{{1,4}})(.*)$", 3, 2, 1, 4, names=True)
-    named2 = _parts(t, lead + rf"({_MONTH})\s*(\d{{1,2}}),\s*(\d{{1,4}})(.*)$", 3, 1, 2, 4, names=True)
-    shapes = [ymd, compact, *((dmy, mdy) if day_first else (mdy, dmy)), named, named2]
-    iso = [ymd, compact]
-    hms, hm = r"(?s)^{}(\d{{1,2}}):(\d{{1,2}}):(\d{{1,2}}(?:\.\d*)?)(.*)$", r"(?s)^{}(\d{{1,2}}):(\d{{1,2}})(.*)$"
+    mdy, dmy = (either, 4, 1, 3, 5), (either, 4, 3, 1, 5)
+    forms = [
+        (lead + r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(.*)$", 1, 3, 4, 5),
+        (lead + r"(\d{4})(\d{2})(\d{2})(?=$|[T\s])(.*)$", 1, 2, 3, 4),
+        *((dmy, mdy) if day_first else (mdy, dmy)),
+        (lead + rf"(\d{{1,2}})(?:-|\s*)({_MONTH})(?:-|\s*)(\d{{1,4}})(.*)$", 3, 2, 1, 4),
+        (lead + rf"({_MONTH})\s*(\d{{1,2}}),\s*(\d{{1,4}})(.*)$", 3, 1, 2, 4),
+    ]
+    out = []
+    for i, (pattern, *groups) in enumerate(forms):
+        y, m, d, rest = _parts(t, pattern, *groups, names=i >= 4)
+        out.append(F.struct(y.alias("y"), m.alias("m"), d.alias("d"), rest.alias("rest"), F.lit(i < 2).alias("iso"), F.lit(i == 1).alias("compact")))
+    return F.filter(F.array(*out), lambda s: s["y"].isNotNull())
+
+
+def _timed(s: Column, gap: str, seconds: bool, honor_ampm: bool) -> Column:
+    zero = F.lit(0)
+    p = rf"(?s)^{gap}(\d{{1,2}}):(\d{{1,2}})" + (r":(\d{1,2}(?:\.\d*)?)(.*)$" if seconds else "(.*)$")
+    h, mi = _int(_group(s["rest"], p, 1)), _int(_group(s["rest"], p, 2))
+    sec = _group(s["rest"], p, 3).try_cast("decimal(16,6)") if seconds else zero.cast("decimal(16,6)")
+    if honor_ampm:
+        tail = F.lower(_group(s["rest"], p, 4 if seconds else 3))
+        h = F.when(tail.rlike(r"^\s*pm") & (h < 12), h + 12).when(tail.rlike(r"^\s*am") & (h == 12), zero).otherwise(h)
+    at = F.when(h < 24, _make(s["y"], s["m"], s["d"], h, mi, sec))
+    return F.when(s["iso"], at) if gap == "T" else at
+
+
+def local_from_text(text: Column, *, day_first: bool = False, honor_ampm: bool = False) -> Column:
+    """Wall-clock timestamp (in UTC) of text, without the numeric shapes."""
     zero = F.lit(0)
 
-    def timed(part: tuple, form: str, gap: str, seconds: bool) -> Column:
-        y, m, d, rest = part
-        p = form.format(gap)
-        h, mi = _int(_group(rest, p, 1)), _int(_group(rest, p, 2))
-        s = _group(rest, p, 3).try_cast("decimal(16,6)") if seconds else zero.cast("decimal(16,6)")
-        if honor_ampm:
-            tail = F.lower(_group(rest, p, 4 if seconds else 3))
-            pm, am = tail.rlike(r"^\s*pm"), tail.rlike(r"^\s*am")
-            h = F.when(pm & (h < 12), h + 12).when(am & (h == 12), zero).otherwise(h)
-        return F.when(h.isNotNull() & (h < 24), _make(y, m, d, h, mi, s))
+    def read(shapes: Column) -> Column:
+        timed = lambda gap, seconds: F.transform(shapes, lambda s: _timed(s, gap, seconds, honor_ampm))
+        tries = [_first(timed(gap, seconds)) for gap in (r"\s*", "T") for seconds in (True, False)]
+        bare = F.transform(shapes, lambda s: F.when(~s["compact"] | (s["rest"] == ""), _make(s["y"], s["m"], s["d"], zero, zero, zero.cast("decimal(16,6)"))))
+        return F.coalesce(*tries, _first(bare))
 
-    tries = [timed(p, hms, r"\s*", True) for p in shapes] + [timed(p, hm, r"\s*", False) for p in shapes]
-    tries += [timed(p, hms, "T", True) for p in iso] + [timed(p, hm, "T", False) for p in iso]
-    bare = [F.when((p[3] == "") if p is compact else F.lit(True), _make(p[0], p[1], p[2], zero, zero, zero.cast("decimal(16,6)"))) for p in shapes]
-    return F.when(meaningful(text), reduce(lambda a, b: F.coalesce(a, b), tries + bare))
+    t = F.btrim(F.regexp_replace(F.regexp_replace(F.btrim(text), "Z$", ""), "([+-][0-9]{2}:?[0-9]{2})$", ""))
+    return F.when(meaningful(text), _let(t, lambda t: _let(_shapes(t, day_first), read)))
 
 
 def _compact(digits: Column) -> Column:
@@ -136,7 +156,7 @@ def to_datetime(x: Column, kind: T.DataType, *, day_first: bool = False, numeric
         return _numeric(x, numeric_origin, tz)
     t = F.btrim(x)
     number = F.when(meaningful(x) & t.rlike(r"^[+-]?[0-9]+([.][0-9]+)?$"), t.try_cast("double"))
-    return F.coalesce(utc(local_from_text(x, day_first=day_first, honor_ampm=honor_ampm)), _numeric(number, numeric_origin, tz))
+    return F.coalesce(utc(local_from_text(x, day_first=day_first, honor_ampm=honor_ampm)), _let(number, lambda n: _numeric(n, numeric_origin, tz)))
 
 
 def to_date(x: Column, kind: T.DataType, *, day_first: bool = False, numeric_origin: str = "auto", tz: str = "UTC") -> Column:

@@ -16,9 +16,9 @@ def c_fixed(value: Column, digits: int) -> Column:
     return F.when(F.isnan(v), F.lit("NaN")).when(v == F.lit(float("inf")), F.lit("Inf")).when(v == F.lit(float("-inf")), F.lit("-Inf")).otherwise(text)
 
 
-def count_percent(n: Column, share: Column, digits: int) -> Column:
-    """``n (p%)`` of a share between 0 and 1."""
-    return F.concat(n.cast("long").cast("string"), F.lit(" ("), c_fixed(share * 100, digits), F.lit("%)"))
+def count_percent(n: Column, percent: Column, digits: int) -> Column:
+    """``n (p%)``."""
+    return F.concat(n.cast("long").cast("string"), F.lit(" ("), c_fixed(percent, digits), F.lit("%)"))
 
 
 def make_unique(names: Iterable[str], sep: str = "_") -> list[str]:

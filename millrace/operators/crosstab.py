@@ -69,17 +69,16 @@ def crosstab_long(
     out = grid.select("row_ord", F.col("r").alias("row_level"), "col_ord", F.col("c").alias("col_level"), n.alias("n"), share.alias("share"))
     if include_total:
         last_row, last_col = F.max("row_ord").over(in_all) + 1, F.max("col_ord").over(in_all) + 1
-        one = F.when(gt > 0, 1.0).otherwise(0.0)
         grid = grid.withColumns({"lr": last_row, "lc": last_col})
         right = {"row": F.when(rt > 0, 1.0).otherwise(0.0), "column": ratio(rt, gt), "total": ratio(rt, gt), "none": F.lit(None).cast("double")}[percent]
         below = {"column": F.when(ct > 0, 1.0).otherwise(0.0), "row": ratio(ct, gt), "total": ratio(ct, gt), "none": F.lit(None).cast("double")}[percent]
-        corner = one if percent != "none" else F.lit(None).cast("double")
+        corner = F.lit(1.0) if percent != "none" else F.lit(None).cast("double")
         total = F.lit("Total")
         side = grid.select("row_ord", F.col("r").alias("row_level"), F.col("lc").alias("col_ord"), total.alias("col_level"), rt.alias("n"), right.alias("share")).distinct()
         foot = grid.select(F.col("lr").alias("row_ord"), total.alias("row_level"), "col_ord", F.col("c").alias("col_level"), ct.alias("n"), below.alias("share")).distinct()
         end = grid.select(F.col("lr").alias("row_ord"), total.alias("row_level"), F.col("lc").alias("col_ord"), total.alias("col_level"), gt.alias("n"), corner.alias("share")).distinct()
         out = out.unionByName(side).unionByName(foot).unionByName(end)
-    cell = F.col("n").cast("string") if percent == "none" else count_percent(F.col("n"), F.col("share"), digits)
+    cell = F.col("n").cast("string") if percent == "none" else count_percent(F.col("n"), 100 * F.col("share"), digits)
     return out.withColumn("cell", cell)
 
 

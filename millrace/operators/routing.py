@@ -187,17 +187,17 @@ def travel(
                     if on_error == "stop":
                         raise
                     rows.append((k, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=[key, "d", "t", "error"])
+            yield pd.DataFrame(rows, columns=[key, "__distance", "__time", "__error"])
 
     unique = keyed.filter(F.col(key).isNotNull()).groupBy(key).agg(*[F.first(p).alias(p) for p in parts])
-    found = written(unique.repartition(checks.whole(workers, "workers", 1)).mapInPandas(requests, f"{key} string, d double, t double, error string"), "routes")
+    found = written(unique.repartition(checks.whole(workers, "workers", 1)).mapInPandas(requests, f"{key} string, __distance double, __time double, __error string"), "routes")
     if on_error == "warn":
-        s = found.filter("error is not null").agg(F.count(F.lit(1)).alias("n"), F.min("error").alias("e")).first()
+        s = found.filter("__error is not null").agg(F.count(F.lit(1)).alias("n"), F.min("__error").alias("e")).first()
         if s["n"]:
             log.warning("%d route request(s) failed; results were set to null. First failure: %s", s["n"], s["e"])
-    out = keyed.join(found.drop("error"), key, "left")
+    out = keyed.join(found.drop("__error"), key, "left")
     kept = [checks.q(c) for c in df.columns if c not in clash]
-    return out.select(*kept, F.col("d").alias(distance_column), F.col("t").alias(time_column))
+    return out.select(*kept, F.col("__distance").alias(distance_column), F.col("__time").alias(time_column))
 
 
 def google_travel(

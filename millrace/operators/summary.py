@@ -72,7 +72,7 @@ def category_levels(
         "n",
         share.alias("share"),
         "is_other",
-        count_percent(F.col("n"), share, digits).alias("cell"),
+        count_percent(F.col("n"), 100 * F.col("n") / F.sum("n").over(every), digits).alias("cell"),
     )
 
 
