@@ -67,34 +67,42 @@ class BlockMaxIndex:
     weight times block maximum, until no block's bound reaches the k-th best score.
     """
 
-    vectors: np.ndarray  # examples x terms, rows of length 1, similar rows next to one another
+    vectors: np.ndarray  # examples x terms, rows of length 1; similar rows are put next to one another
     ids: np.ndarray
     labels: np.ndarray
-    block: int = 64
+    block: int = 32
+    lists: np.ndarray = field(init=False)
     maxima: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        n = len(self.vectors)
-        order = np.lexsort((self.ids, *np.argsort(-self.vectors, axis=1)[:, :3].T[::-1])) if n and self.vectors.shape[1] >= 3 else np.argsort(self.ids)
+        n, width = self.vectors.shape
+        order = np.lexsort((self.ids, *np.argsort(-self.vectors, axis=1)[:, :3].T[::-1])) if n and width >= 3 else np.argsort(self.ids)
         self.vectors, self.ids, self.labels = self.vectors[order], self.ids[order], self.labels[order]
-        cuts = np.arange(0, n, self.block)
-        self.maxima = np.maximum.reduceat(self.vectors, cuts, axis=0) if n else np.zeros((0, self.vectors.shape[1]), np.float32)
+        self.lists = np.ascontiguousarray(self.vectors.T)  # a term's weights in all examples
+        self.maxima = np.maximum.reduceat(self.lists, np.arange(0, n, self.block), axis=1) if n else np.zeros((width, 0), np.float32)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(row numbers, cosines) of the k nearest examples with cosine above 0; ties go to the lesser id."""
-        bound = self.maxima[:, terms] @ weights
+        n, slack = len(self.ids), np.float32(4e-6)  # beyond rounding, so no tie is lost
+        bound = weights @ self.maxima[terms]
+        queue = np.argsort(-bound, kind="stable")
+        bound = bound[queue]
         rows, scores, kth = np.zeros(0, np.int64), np.zeros(0, np.float32), np.float32(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < kth - 1e-6:
-                break
-            r = np.arange(b * self.block, min((b + 1) * self.block, len(self.ids)))
-            s = self.vectors[r][:, terms] @ weights
-            keep = (s > 0) & (self.ids[r] != without) if without is not None else s > 0
-            rows, scores = np.r_[rows, r[keep]], np.r_[scores, s[keep]]
+        at, step = 0, 4
+        while at < len(queue) and bound[at] > 0 and bound[at] >= kth - slack:
+            here = queue[at : at + step][bound[at : at + step] >= kth - slack]
+            r = (here[:, None] * self.block + np.arange(self.block)).ravel()
+            r = r[r < n]
+            s = weights @ self.lists[terms[:, None], r]
+            keep = s > max(np.float32(0), kth - slack)
+            if without is not None:
+                keep &= self.ids[r] != without
+            rows, scores = np.concatenate([rows, r[keep]]), np.concatenate([scores, s[keep]])
             if len(rows) > k:
-                best = np.lexsort((self.ids[rows], -np.round(scores, 6)))[:k]
-                rows, scores = rows[best], scores[best]
-                kth = scores.min()
+                kth = np.partition(scores, len(scores) - k)[len(scores) - k]
+                keep = scores >= kth - slack
+                rows, scores = rows[keep], scores[keep]
+            at, step = at + step, step * 2
         best = np.lexsort((self.ids[rows], -np.round(scores, 6)))[:k]
         return rows[best], scores[best]
 
@@ -143,6 +151,7 @@ def fit_toxicity(
     max_terms: int = 1_024,
     min_support: int = 4,
     min_evidence: float = 12.0,
+    min_lift: float = 2.0,
     background: float = 0.06,
     k: int = 15,
     key: str = "doc_id",
@@ -153,8 +162,8 @@ def fit_toxicity(
 
     At most ``max_labelled`` labelled documents are used: those of the least hashed id. Of labelled near copies (same
     minwise word hash and label) one is used. Terms are words and word beginnings that at least ``min_support`` toxic
-    examples have, whose log-likelihood ratio against the label is at least ``min_evidence`` and that favour toxicity;
-    at most ``max_terms``. All words of a text together are one more term, of idf 1, weighted by ``background``. Inverse
+    examples have, whose log-likelihood ratio against the label is at least ``min_evidence`` and that are more than
+    ``min_lift`` times as frequent among toxic examples as among clean ones; at most ``max_terms``. All words of a text together are one more term, of idf 1, weighted by ``background``. Inverse
     document frequencies count all documents. Votes are calibrated by leaving each example out of its own neighbours.
     """
     spark = docs.sparkSession
@@ -217,7 +226,7 @@ def fit_toxicity(
     n_docs = max([1, *(r["df"] for r in stats if r["t"] == -1)])
     chosen = []
     for r in stats:
-        if r["t"] < 0 or r["pos"] < min_support or r["pos"] * n_neg <= r["neg"] * n_pos:
+        if r["t"] < 0 or r["pos"] < min_support or r["pos"] * n_neg <= min_lift * r["neg"] * n_pos:
             continue
         table = np.array([[r["pos"], n_pos - r["pos"]], [r["neg"], max(0, n_neg - r["neg"])]], float).clip(0)
         fit = table.sum(1, keepdims=True) * table.sum(0) / table.sum()
