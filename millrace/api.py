@@ -21,9 +21,9 @@ from .sources.importing import read_csv, read_tables, read_xlsx
 from .sources.store import load_table, save_table
 
 ALIASES = {
-    f"mr_{name}": value
+    f"mill_{name}": value
     for name, value in list(globals().items())
     if callable(value) and getattr(value, "__module__", "").startswith("millrace.")
 }
 globals().update(ALIASES)
-__all__ = sorted([*ALIASES, *(name.removeprefix("mr_") for name in ALIASES)])
+__all__ = sorted([*ALIASES, *(name.removeprefix("mill_") for name in ALIASES)])

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import checks
 from ..functions.formatting import c_fixed, count_percent, make_unique
+from .quantiles import exact_quantiles
 
 PROBS = (0.05, 0.1, 0.2, 0.25, 0.5, 0.75, 0.8, 0.9, 0.95)
 
@@ -92,11 +93,12 @@ def quantile_labels(probs: Sequence[float]) -> list[str]:
     return make_unique([named.get(p) or f"P{p * 100:.12g}" for p in probs])
 
 
-def continuous_stats(df: DataFrame, var_name: str, *, finite_only: bool = True, probs: Sequence[float] = PROBS) -> DataFrame:
+def continuous_stats(df: DataFrame, var_name: str, *, finite_only: bool = True, probs: Sequence[float] = PROBS, distributed: bool = False) -> DataFrame:
     """One row of numbers: n, missing, non_missing, non_finite, analyzed, mean, sd, median, min, max, quantiles.
 
     Null and NaN are missing, infinities non-finite; with ``finite_only`` they aren't analysed. sd is the sample's,
-    quantiles interpolate linearly (exact, type 7). One aggregation pass.
+    quantiles interpolate linearly (exact, type 7). One aggregation pass, in which a task holds the distinct values;
+    where they are too many for that, ``distributed`` takes quantiles and median from a range-partitioned sort instead.
     """
     checks.frame(df)
     checks.column(df, var_name)
@@ -108,6 +110,13 @@ def continuous_stats(df: DataFrame, var_name: str, *, finite_only: bool = True,
     wild = F.abs(v) == float("inf")
     x = F.when(wild, None).otherwise(v) if finite_only else v
     d = df.select(v.alias("v"), x.alias("x"), wild.alias("wild"))
+    if checks.flag(distributed, "distributed"):
+        mid, *some = exact_quantiles(d, F.col("x"), [0.5, *[y for y in p if y != 0.5]])
+        rest = iter(some)
+        listed = [mid if y == 0.5 else next(rest) for y in p]
+        median, quantiles = F.lit(mid).cast("double"), F.array(*[F.lit(y).cast("double") for y in listed])
+    else:
+        median, quantiles = F.percentile("x", F.lit(0.5)), F.percentile("x", F.array(*[F.lit(y) for y in p]))
     return d.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("v").isNull()).alias("missing"),
@@ -116,10 +125,10 @@ def continuous_stats(df: DataFrame, var_name: str, *, finite_only: bool = True,
         F.count("x").alias("analyzed"),
         F.avg("x").alias("mean"),
         F.stddev_samp("x").alias("sd"),
-        F.percentile("x", F.lit(0.5)).alias("median"),
+        median.alias("median"),
         F.min("x").alias("min"),
         F.max("x").alias("max"),
-        F.percentile("x", F.array(*[F.lit(v) for v in p])).alias("quantiles"),
+        quantiles.alias("quantiles"),
     )
 
 

@@ -51,6 +51,13 @@ def test_continuous_summary(spark):
         api.continuous_stats(df, "value", probs=[0.5, 0.5])
 
 
+def test_distributed_quantiles(spark):
+    df = spark.range(0, 1003, 1, 7).selectExpr("case when id % 10 = 0 then null else cast((id * 7919) % 500 as double) / 3 end as v")
+    a, b = (row(api.continuous_stats(df, "v", distributed=d)) for d in (False, True))
+    assert a.keys() == b.keys() and a["quantiles"] == pytest.approx(b["quantiles"]) and a["median"] == pytest.approx(b["median"])
+    assert row(api.continuous_stats(df.limit(0), "v", distributed=True))["median"] is None
+
+
 @pytest.fixture
 def sexes(spark):
     rows = [("Female", "Control"), ("Female", "Treatment"), ("Male", "Control"), ("Male", "Treatment"), ("Male", "Treatment"), (None, "Control")]
@@ -124,5 +131,5 @@ def test_types(spark):
 
 
 def test_aliases():
-    assert api.mr_category_summary is api.category_summary and len(api.ALIASES) == len(api.__all__) / 2
+    assert api.mill_category_summary is api.category_summary and len(api.ALIASES) == len(api.__all__) / 2
     assert make_unique(["a", "a", "a_1", "a"]) == ["a", "a_2", "a_1", "a_3"]
