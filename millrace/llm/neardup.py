@@ -23,7 +23,7 @@ _ODD = mix(_SEEDS + np.uint64(77)) | np.uint64(1)
 
 
 def minwise(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(texts that have words, their TOKENS minwise tokens of 16 bits): the least of TOKENS hashes over the distinct
+    """(texts that have words, their TOKENS minwise tokens of 64 bits): the least of TOKENS hashes over the distinct
     runs of ``shingle`` words; a text of fewer words is one run."""
     h, counts = words.hashes(), words.counts()
     has = np.flatnonzero(counts)
@@ -37,25 +37,29 @@ def minwise(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
         else:
             pieces.append(windows(h[a : a + n], n) + np.uint64(n))
         sums.append(len(pieces[-1]))
-    out = np.zeros((len(has), TOKENS), np.uint16)
+    out = np.zeros((len(has), TOKENS), np.uint64)
     if not pieces:
         return has, out
     flat = np.concatenate(pieces)
     cuts = np.r_[0, np.cumsum(sums)[:-1]]
     for k in range(TOKENS):
         v = (flat ^ _SEEDS[k]) * _ODD[k]
-        out[:, k] = mix(np.minimum.reduceat(v ^ (v >> np.uint64(29)), cuts)).astype(np.uint16)
+        out[:, k] = mix(np.minimum.reduceat(v ^ (v >> np.uint64(29)), cuts))
     return has, out
 
 
-def branches(level: int, tree: int, node: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+def branches(level: int, node: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Tokens by which every node branches, as (node's number, token): each token is selected with probability ``rate``,
-    by a hash of tree, level, node and token, so all texts of a node branch alike."""
-    seed = np.uint64(mix_int(tree * 1009 + level))
+    by a hash of level, node and token, so all texts of a node branch alike. A tree's number is its root."""
+    seed = np.uint64(mix_int(level))
     draw = mix((node ^ seed)[:, None] + _SEEDS[None, :])
     return np.nonzero(draw < np.uint64(min(int(rate * 2.0**64), (1 << 64) - 1)))
 
 
+def children(node: np.ndarray, token: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return mix(mix(node + _SEEDS[token]) ^ (value * np.uint64(0x9E3779B97F4A7C15)))
+
+
 def components(sig: np.ndarray, least: int) -> np.ndarray:
     """For every row the row it was reached from (itself for a component's first): exact components of the graph that
     joins rows with at least ``least`` equal tokens. A row reached is compared with the rows not yet reached alone, so
@@ -108,46 +112,40 @@ def near_pairs(
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             has, sig = minwise(Words(pc.utf8_lower(b.column(2))), shingle)
+            first = children(root, token, sig[:, token])  # nodes of the first level, by whole tokens
             which = np.full(b.num_rows, -1)
             which[has] = np.arange(len(has))
-            blobs = pa.array([sig[i].tobytes() if i >= 0 else None for i in which.tolist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), blobs], names=["id", "doc_id", "sig"])
-
-    sketches = written(named.mapInArrow(sketch, "id long, doc_id long, sig binary"), "sketches")
+            small = sig.astype(np.uint16)  # 16 bits are enough to compare texts that share a node
+            blobs = pa.array([small[i].tobytes() if i >= 0 else None for i in which.tolist()], pa.binary())
+            nodes = pa.array([first[i].view(np.int64) if i >= 0 else None for i in which.tolist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), blobs, nodes], names=["id", "doc_id", "sig", "nodes"])
+
+    root, token = np.arange(trees, dtype=np.uint64), np.zeros(0, np.int64)
+    row, token = branches(1, root, rate)
+    root = root[row]
+    sketches = written(named.mapInArrow(sketch, "id long, doc_id long, sig binary, nodes array<long>"), "sketches")
     texts = sketches.groupBy("id").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
     same = sketches.filter("sig is not null").select("id", F.md5("sig").alias("m"))
     heads = same.groupBy("m").agg(F.min("id").alias("id"))
     equal = same.join(heads.withColumnRenamed("id", "other"), "m").filter("id != other").select("id", "other")
-    sigs = sketches.filter("sig is not null").join(heads.select("id"), "id", "left_semi").select("id", "sig").dropDuplicates(["id"])
+    kept = sketches.filter("sig is not null").join(heads.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    sigs = kept.select("id", "sig")
 
     def grow(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if not b.num_rows:
-                    continue
-                ids, sig = b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, TOKENS)
-                for tree in range(trees) if level == 1 else [-1]:
-                    if level == 1:
-                        node, of = np.full(len(ids), tree, np.uint64), np.full(len(ids), tree)
-                    else:
-                        node, of = b.column(2).to_numpy().view(np.uint64), b.column(3).to_numpy()
-                    for t in np.unique(of).tolist():
-                        on = np.flatnonzero(of == t)
-                        if level == 1:  # one root: one selection for all
-                            row, token = branches(level, t, node[on[:1]], rate)
-                            row, token = np.repeat(np.arange(len(on)), len(token)), np.tile(token, len(on))
-                        else:
-                            row, token = branches(level, t, node[on], rate)
-                        value = sig[on[row], token].astype(np.uint64)
-                        child = mix(mix(node[on[row]] + _SEEDS[token]) ^ (value * np.uint64(0x9E3779B97F4A7C15) + np.uint64(t)))
-                        yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(np.full(len(row), t, np.int16)), pa.array(ids[on[row]])], names=["node", "tree", "id"])
+                if b.num_rows:
+                    sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, TOKENS)
+                    node = b.column(2).to_numpy().view(np.uint64)
+                    row, token = branches(level, node, rate)
+                    child = children(node[row], token, sig[row, token].astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column(0).take(pa.array(row))], names=["node", "id"])
 
         return run
 
-    schema = "node long, tree short, id long"
     size = Window.partitionBy("node")
     done: list[DataFrame] = []
-    level, here = 1, sigs.mapInArrow(grow(1), schema)
+    level, here = 1, kept.select(F.explode("nodes").alias("node"), "id")
     while True:
         here = written(here.withColumn("n", F.count(F.lit(1)).over(size)).filter("n > 1"), f"level{level}")
         large = here.filter(F.col("n") > leaf)
@@ -156,7 +154,7 @@ def near_pairs(
         if last:
             break
         level += 1
-        here = large.join(sigs, "id").select("id", "sig", "node", "tree").mapInArrow(grow(level), schema)
+        here = large.join(sigs, "id").select("id", "sig", "node").mapInArrow(grow(level), "node long, id long")
     nodes = done[0]
     for x in done[1:]:
         nodes = nodes.unionByName(x)

@@ -124,7 +124,7 @@ def test_connected_components(spark):
 
 def test_every_tree_branches_alike():
     node = np.array([5, 5, 9], np.uint64)
-    row, token = branches(2, 1, node, 0.05)
+    row, token = branches(2, node, 0.05)
     assert token[row == 0].tolist() == token[row == 1].tolist() != token[row == 2].tolist()
 
 
