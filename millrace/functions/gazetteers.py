@@ -30,6 +30,12 @@ def normal(name: str, accents: bool) -> str:
     return re.sub("[^a-z0-9]+", " ", name).strip()
 
 
+@lru_cache(maxsize=4)
+def _whole(text: str, accents: bool) -> str:
+    """The text's normal form; a text's candidates come one after the other."""
+    return f" {normal(text, accents)} "
+
+
 def fragments(name: str, most: int) -> list[str]:
     w = name.split(" ")
     return [" ".join(w[i : i + n]) for n in range(1, min(most, len(w)) + 1) for i in range(len(w) - n + 1)]
@@ -68,7 +74,7 @@ class Gazetteer:
         found = self.index.get(bare)
         if not found:
             return False
-        whole = f" {normal(text, self.accents)} "
+        whole = _whole(text, self.accents)
         return any(f" {n} " in whole for n in found)
 
 

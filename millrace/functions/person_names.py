@@ -24,6 +24,26 @@ CONFIDENCE = {"last_first": "high", "patient_abbreviation": "high", "titled_name
 _EDGE = r"^[\p{P}\p{S}\s]+|[\p{P}\p{S}\s]+$"
 
 
+def back(text: str, at: int, words: int) -> int:
+    """Where the ``words`` blank-separated words before ``at`` begin."""
+    for _ in range(words):
+        while at and text[at - 1].isspace():
+            at -= 1
+        while at and not text[at - 1].isspace():
+            at -= 1
+    return at
+
+
+def ahead(text: str, at: int, words: int) -> int:
+    """Where the ``words`` words after ``at`` end."""
+    for _ in range(words):
+        while at < len(text) and text[at].isspace():
+            at += 1
+        while at < len(text) and not text[at].isspace():
+            at += 1
+    return at
+
+
 def _any(words: Sequence[str]) -> str:
     return "(?i:" + "|".join(regex.escape(w).replace(r"\ ", r"\s+").replace(" ", r"\s+") for w in sorted(words, key=lambda w: -len(w))) + ")"
 
@@ -111,11 +131,14 @@ class Engine:
         return self._geographic(candidate) or self.places.is_candidate(candidate) or any(g.has(candidate, text) for g in (self.rules.facilities, self.rules.schools, self.rules.drugs))
 
     def _clinical(self, text: str, start: int, end: int) -> bool:
-        return self._phrase(text[start:end]) in self.phrases or any(m.start() <= start and m.end() >= end for m in self.phrase.finditer(text))
+        if self._phrase(text[start:end]) in self.phrases:
+            return True
+        around = self.phrase.finditer(text, back(text, start, 10), ahead(text, end, 10))  # phrases have fewer words
+        return any(m.start() <= start and m.end() >= end for m in around)
 
     def nobody(self, text: str, start: int, end: int) -> bool:
         candidate = text[start:end]
-        return bool(self._clinical(text, start, end) or self._listed(candidate, text) or self.inside.search(candidate) or self.after.match(text[end:]))
+        return bool(self._clinical(text, start, end) or self._listed(candidate, text) or self.inside.search(candidate) or self.after.match(text, end))
 
     def supported(self, text: str, start: int, end: int) -> bool:
         return bool(self.before_person.search(text[:start]) or self.after_person.search(text[end:]))
@@ -169,11 +192,14 @@ class Engine:
         """Is there a match that is a person? Those that aren't are blanked and the text is searched again."""
         seen = self.phrase.sub(" | ", text)
         for pattern in patterns:
-            while m := pattern.search(seen):
+            at = 0
+            while m := pattern.search(seen, at):
                 start, end = m.span()
                 candidate = m[0]
-                if not (self._listed(candidate, text) or self._clinical(seen, start, end) or self.inside_clinical.search(candidate) or self.after_clinical.match(seen[end:])):
+                if not (self._listed(candidate, text) or self._clinical(seen, start, end) or self.inside_clinical.search(candidate) or self.after_clinical.match(seen, end)):
                     return True
+                # a match and what it looks ahead to take fewer than ten words, so nothing before them changes
+                at = back(seen, start, 12)
                 seen = f"{seen[:start]} | {seen[end:]}"
         return False
 
