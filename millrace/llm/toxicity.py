@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, mix, slices
+from .words import Words, slices
 
 #: Leading bytes of a word that are terms of their own, so inflected and compounded words meet their stem.
 PREFIXES = (4, 5, 6)
@@ -160,8 +160,8 @@ def fit_toxicity(
 ) -> ToxicityModel | None:
     """The model, or None where the labels have no toxic or no clean document with words.
 
-    At most ``max_labelled`` labelled documents are used: those of the least hashed id. Of labelled near copies (same
-    minwise word hash and label) one is used. Terms are words and word beginnings that at least ``min_support`` toxic
+    At most ``max_labelled`` labelled documents are used: those of the least hashed id. Of equal texts with one label the least
+    id is used, and of texts that differ every one that has a word. Terms are words and word beginnings that at least ``min_support`` toxic
     examples have, whose log-likelihood ratio against the label is at least ``min_evidence`` and that are more than
     ``min_lift`` times as frequent among toxic examples as among clean ones; at most ``max_terms``. All words of a text together are one more term, of idf 1, weighted by ``background``. Inverse
     document frequencies count all documents. Votes are calibrated by leaving each example out of its own neighbours.
@@ -177,17 +177,8 @@ def fit_toxicity(
     given = F.broadcast(spark.createDataFrame([(i, y) for i, y in y_of.items()], "doc_id long, y int"))  # at most max_labelled rows
     mine = d.join(given, "doc_id")
 
-    def minwise(batches):
-        for b in slices(batches, "text"):
-            w = Words(pc.utf8_lower(b.column(1)))
-            has = np.flatnonzero(w.counts())
-            low = np.minimum.reduceat(mix(w.hashes()), w.bounds[:-1][has]) if len(has) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), b.column(2).take(pa.array(has)), pa.array(low.view(np.int64))], names=["doc_id", "y", "m"])
-
-    firsts: dict[tuple[int, int], int] = {}
-    for i, y, m in mine.mapInArrow(minwise, "doc_id long, y int, m long").collect():
-        firsts[y, m] = min(i, firsts.get((y, m), i))
-    used = {i: y for (y, _), i in firsts.items()}
+    worded = mine.filter(F.col("text").rlike(r"[0-9A-Za-z_]|[^\x00-\x7F]"))
+    used = {r["i"]: r["y"] for r in worded.groupBy("y", F.sha2("text", 256).alias("m")).agg(F.min("doc_id").alias("i")).collect()}
     n_pos, n_neg = sum(used.values()), len(used) - sum(used.values())
     if not n_pos or not n_neg:
         return None

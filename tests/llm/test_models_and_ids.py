@@ -165,6 +165,18 @@ def test_held_out_accuracy(spark):
         assert abs(np.mean([r["score"] for r in part]) - np.mean([r["y"] for r in part])) < 0.08
 
 
+def test_unlike_labelled_texts_are_all_examples(spark):
+    rng = random.Random(3)
+    stock = [f"word{i}" for i in range(60)]
+    rows = [(i, " ".join(["the", "of", "and", *rng.sample(stock, 12), *(["vilest"] if i < 40 else [])])) for i in range(120)]
+    rows += [(200 + i, rows[i][1]) for i in range(5)]  # equal texts are one example
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 200 < 40).cast("int").alias("toxic"))
+    model = fit_toxicity(docs, labels)
+    assert set(range(40)) <= set(model.index.ids.tolist()) <= set(range(120))
+    assert {r["doc_id"] for r in score_toxicity(docs, labels).filter("toxic").collect()} == {*range(40), *range(200, 205)}
+
+
 def test_toxicity_edge_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
