@@ -31,7 +31,7 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_repeats(_read(spark, sf_dir, "documents"), min_words=50, block=25)
+    return find_repeats(_read(spark, sf_dir, "documents"), min_words=50, block=25, maximal=True)
 
 
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

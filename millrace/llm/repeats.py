@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from .words import Words, mix, mix_int, slices, window_mask, windows
 
 #: Words of the gram that marks a window's place in the shuffle.
 MARK = 9
 _NONE = 31
+#: Bits of the filter that passes the few texts whose rows may be extended.
+FILTER_BITS = 1 << 23
 
 
 def _sliding_argmin(v: np.ndarray, width: int) -> np.ndarray:
@@ -43,7 +46,73 @@ def _marks(words: Words, h: np.ndarray, size: int, valid: np.ndarray, seed: int)
     return on[first], on[last], p[first], grams[p[first]] if len(on) else grams[:0]
 
 
-def find_repeats(docs: DataFrame, *, min_words: int = 50, block: int = 25, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _same(x: np.ndarray, y: np.ndarray) -> int:
+    """Number of leading values that ``x`` and ``y`` share, compared in growing steps."""
+    n, at, step = min(len(x), len(y)), 0, 64
+    while at < n:
+        differ = np.flatnonzero(x[at : min(at + step, n)] != y[at : min(at + step, n)])
+        if len(differ):
+            return at + int(differ[0])
+        at, step = at + step, step * 2
+    return n
+
+
+def _extended(whole: DataFrame, named: DataFrame, min_words: int) -> DataFrame:
+    """Rows (doc_id, ref_doc_id, shift, a, z), each extended left and right as far as the two texts agree in step.
+
+    A row can grow only where the next window is a repeat too, with another reference: that is read from the rows
+    alone. Of the others the two texts are met, once a pair of texts."""
+    here = Window.partitionBy("id")
+    before = here.orderBy("a").rangeBetween(Window.unboundedPreceding, -1)  # rows that start at a - 1 or before it
+    after = here.orderBy(F.col("z").desc()).rangeBetween(Window.unboundedPreceding, -1)  # rows that end at z + 1 or after it
+    grows = (F.max("z").over(before) >= F.col("a") - 1) | (F.min("a").over(after) <= F.col("z") + 1)
+    whole = written(whole.withColumn("open", F.coalesce(grows, F.lit(False))), "repeats")
+    pairs = whole.filter("open").groupBy("id", "ref_id").agg(F.first("doc_id").alias("doc_id"), F.first("ref_doc_id").alias("ref_doc_id"), F.sort_array(F.collect_list(F.struct("shift", "a", "z"))).alias("runs"))
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(FILTER_BITS, bool)
+        for b in batches:
+            for c in b.columns:
+                on[c.to_numpy() & (FILTER_BITS - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(on).tobytes()])], names=["bits"])
+
+    wanted = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in whole.filter("open").select("id", "ref_id").coalesce(16).mapInArrow(bits, "bits binary").collect():
+        wanted |= np.frombuffer(r[0], np.uint8)
+    sent = named.sparkSession.sparkContext.broadcast(wanted)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(0).to_numpy() & (FILTER_BITS - 1)
+            yield b.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7))) & 1 == 1))
+
+    texts = named.select("id", "text").mapInArrow(passed, "id long, text string").groupBy("id").agg(F.first("text").alias("text"))
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(slices(batches, "text"), "ref_text"):
+            w, v = Words(b.column(3)), Words(b.column(4))
+            hw, hv = w.hashes(), v.hashes()
+            out: list[tuple[int, int, int, int]] = []
+            for i, runs in enumerate(b.column(2).to_pylist()):
+                x, y = hw[w.bounds[i] : w.bounds[i + 1]], hv[v.bounds[i] : v.bounds[i + 1]]
+                last = (None, 0)
+                for run in runs:
+                    d, a, end = run["shift"], run["a"], run["z"] + min_words
+                    if last[0] == d and end <= last[1]:
+                        continue  # inside the row before it
+                    end += _same(x[end:], y[end + d :])
+                    a -= _same(x[:a][::-1], y[: a + d][::-1])
+                    out.append((i, d, a, end - min_words))
+                    last = (d, end)
+            rows, d, a, z = (pa.array([o[j] for o in out], pa.int32()) for j in range(4))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), d, a, z], names=["doc_id", "ref_doc_id", "shift", "a", "z"])
+
+    met = pairs.join(texts, "id").join(texts.select(F.col("id").alias("ref_id"), F.col("text").alias("ref_text")), "ref_id")
+    grown = met.select("doc_id", "ref_doc_id", "runs", "text", "ref_text").mapInArrow(extend, "doc_id long, ref_doc_id long, shift int, a int, z int")
+    return whole.filter("not open").select("doc_id", "ref_doc_id", "shift", "a", "z").unionByName(grown)
+
+
+def find_repeats(docs: DataFrame, *, min_words: int = 50, block: int = 25, maximal: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start_word, n_words, ref_doc_id, ref_start_word): every passage of at least ``min_words`` words that
     occurs in another place too, and one such place.
 
@@ -55,6 +124,11 @@ def find_repeats(docs: DataFrame, *, min_words: int = 50, block: int = 25, key:
     mark, and those that meet the same place in step are joined to maximal runs. Work grows with the number of places
     and not with that of pairs: a window's reference is the least other place (doc_id, then word) that has it.
 
+    A row ends where its windows' least place changes, so inside a longer copy of two texts a passage that a lesser text
+    has too cuts rows short. With ``maximal`` every row is then extended left and right over both texts until words
+    differ, and rows that become equal are one: each is a maximal repeat of its text and its reference. Only the
+    references of windows are named, so two texts all of whose common windows occur in lesser ones have no row together.
+
     A word is a run of ASCII letters, digits and underscores and of other characters beyond ASCII; case counts, what
     lies between words doesn't. Windows of one row overlap or touch and all equal the reference's words in step.
 
@@ -124,4 +198,6 @@ def find_repeats(docs: DataFrame, *, min_words: int = 50, block: int = 25, key:
     runs = runs.withColumn("new", (F.col("a") > F.coalesce(F.max("z").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1 << 30)) + min_words).cast("int"))
     runs = runs.withColumn("island", F.sum("new").over(along))
     whole = runs.groupBy("id", "ref_id", "shift", "island").agg(F.first("doc_id").alias("doc_id"), F.first("ref_doc_id").alias("ref_doc_id"), F.min("a").alias("a"), F.max("z").alias("z"))
+    if maximal:
+        whole = _extended(whole, named, min_words)
     return whole.select("doc_id", F.col("a").alias("start_word"), (F.col("z") - F.col("a") + min_words).alias("n_words"), "ref_doc_id", (F.col("a") + F.col("shift")).alias("ref_start_word"))

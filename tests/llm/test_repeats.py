@@ -97,3 +97,40 @@ def test_very_long_text(spark):
 def test_bad_sizes(spark):
     with pytest.raises(ValueError):
         find_repeats(spark.createDataFrame([], SCHEMA), min_words=40, block=25)
+
+
+def maximal_brute(rows, size):
+    """All maximal repeats of every two places, by comparing all words along every shift."""
+    words = {k: re.findall(r"(?:[0-9A-Za-z_]|[^\x00-\x7f])+", t) for k, t in rows}
+    out = set()
+    for k, w in words.items():
+        for r, v in words.items():
+            for shift in range(-len(w) + size, len(v) - size + 1):
+                if k == r and shift == 0:
+                    continue
+                n = 0
+                for i in range(max(0, -shift), min(len(w), len(v) - shift) + 1):
+                    if i < min(len(w), len(v) - shift) and w[i] == v[i + shift]:
+                        n += 1
+                        continue
+                    if n >= size:
+                        out.add((k, i - n, n, r, i - n + shift))
+                    n = 0
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_rows_of_the_query_are_maximal(spark, tmp_path, seed):
+    from millrace.llm.queries import QUERIES
+
+    rng = random.Random(seed)
+    p1, p2, p3 = text(rng, 60), text(rng, 60), text(rng, 70)
+    rows = [(1, f"{text(rng, 3)} {p1} {text(rng, 4)}"), (2, f"{text(rng, 5)} {p1} {p2} {text(rng, 2)}"), (3, f"{text(rng, 7)} {p1} {p2}")]
+    rows += [(4, f"{p2} {p3} {text(rng, 9)} {p2} {p3}"), (5, f"{p3} {text(rng, 6)} {p1} {p2} {p3}"), (6, " ".join([p1] * 3)), (7, text(rng, 90))]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES["op3_substring_dedup"](spark, str(tmp_path)).collect()]
+    every = maximal_brute(rows, 50)
+    assert len(got) == len(set(got)) and set(got) <= every
+    assert {(2, 5, 120, 3, 7), (3, 7, 120, 2, 5)} <= set(got)
+    covered = lambda found: {(k, i) for k, a, n, *_ in found for i in range(a, a + n)}
+    assert covered(got) == covered(every)
