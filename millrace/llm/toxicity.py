@@ -3,156 +3,213 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..scratch import written
 from .words import Words, slices
 
-#: Leading bytes of a word that are terms of their own, so inflected and compounded words meet their stem.
-PREFIXES = (4, 5, 6)
+#: Texts that are searched for at once: their scores against all examples are held together.
+_BATCH = 128
+#: Beyond rounding of sums in single precision, so that no tie is lost.
+_SLACK = np.float32(4e-6)
 
 
-def _terms(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(word numbers, term hashes, prefix size or 0) of every kind of term."""
-    yield np.arange(len(words)), words.hashes(), 0
-    for size in PREFIXES:
-        yield *words.prefix_hashes(size), size
-
-
-class Lookup:
-    """Finds the few wanted hashes among many: a bit table passes about one in a hundred others, a search settles."""
+class Vocabulary:
+    """Numbers of known word hashes: an open-addressing table, looked up for whole arrays at once."""
 
     def __init__(self, hashes: np.ndarray) -> None:
-        self.hashes = np.sort(hashes)
-        size = 1 << max(10, int(len(hashes) * 64).bit_length())
-        self.mask = np.uint64(size - 1)
-        self.bits = np.zeros(size, bool)
-        self.bits[self.hashes & self.mask] = True
-
-    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of ``h`` are wanted, and as which number."""
-        if not len(self.hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        idx = np.flatnonzero(self.bits[h & self.mask])
-        at = np.minimum(np.searchsorted(self.hashes, h[idx]), len(self.hashes) - 1)
-        same = self.hashes[at] == h[idx]
-        return idx[same], at[same]
-
-
-def _vectors(texts: pa.Array, lookup: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words, dict]:
-    """Counts of wanted terms: sorted by (text, term); also the words and a word that has each term."""
+        self.hashes, self.size = hashes, len(hashes)
+        bits = max(10, (2 * self.size).bit_length())
+        self.mask = np.uint64((1 << bits) - 1)
+        self.slots = np.full(1 << bits, -1, np.int32)
+        left = np.arange(self.size, dtype=np.int32)
+        at = hashes & self.mask
+        while len(left):
+            free = np.flatnonzero(self.slots[at] < 0)
+            won = free[np.unique(at[free], return_index=True)[1]]
+            self.slots[at[won]] = left[won]
+            rest = np.ones(len(left), bool)
+            rest[won] = False
+            left, at = left[rest], (at[rest] + np.uint64(1)) & self.mask
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """The number of every hash, -1 where it isn't known."""
+        out = np.full(len(h), -1, np.int32)
+        if not self.size:
+            return out
+        left, at = np.arange(len(h)), h & self.mask
+        while len(left):
+            slot = self.slots[at]
+            hit = (self.hashes[slot] == h[left]) & (slot >= 0)
+            out[left[hit]] = slot[hit]
+            on = ~hit & (slot >= 0)
+            left, at = left[on], (at[on] + np.uint64(1)) & self.mask
+        return out
+
+
+def _counts(texts: pa.Array, known: Vocabulary | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds by text, terms, their counts) of lower-cased texts; terms are numbers in ``known``, or word hashes."""
     words = Words(pc.utf8_lower(texts))
-    owner = words.owner()
-    keys, shown = [], {}
-    for numbers, h, size in _terms(words):
-        idx, term = lookup(h)
-        w = numbers[idx]
-        keys.append((owner[w].astype(np.int64) << 32) | term)
-        for t, i in zip(*np.unique(term, return_index=True)):
-            shown.setdefault(int(t), words.text(int(w[i]), size or None) + ("…" if size else ""))
-    pair, tf = np.unique(np.concatenate(keys), return_counts=True)
-    return pair >> 32, pair & 0xFFFFFFFF, tf, words, shown
+    owner, h = words.owner(), words.hashes()
+    if known is not None:
+        term = known(h)
+        there = term >= 0
+        pair, tf = np.unique((owner[there].astype(np.int64) << 32) | term[there], return_counts=True)
+        owner, term = pair >> 32, pair & 0xFFFFFFFF
+    else:
+        order = np.lexsort((h, owner))
+        owner, term = owner[order], h[order]
+        first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])]) if len(term) else np.zeros(0, np.int64)
+        tf = np.diff(np.r_[first, len(term)])
+        owner, term = owner[first], term[first]
+    return np.searchsorted(owner, np.arange(len(texts) + 1)), term, tf
 
 
-@dataclass
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of examples in blocks; for every term the greatest weight in each block.
+    """Inverted lists of the examples' unit TF-IDF vectors, in blocks of ``block`` examples.
+
+    Lists of terms that more than 1/``dense`` of the examples have are kept block by block with the greatest weight of each
+    block. Shorter lists have about one posting in a block, so that a posting is its block's maximum; they are kept as postings.
 
-    ``search`` is exact: blocks are scored in the order of their upper bound, the sum over the query's terms of query
-    weight times block maximum, until no block's bound reaches the k-th best score.
+    ``search`` is exact. Short lists are summed first. A block's bound is its best sum so far, plus, over the long lists,
+    query weight times block maximum. The most promising blocks get their long lists added; then every other block whose
+    bound reaches the k-th best sum does. The rest can't hold one of the k nearest.
     """
 
-    vectors: np.ndarray  # examples x terms, rows of length 1; similar rows are put next to one another
-    ids: np.ndarray
-    labels: np.ndarray
-    block: int = 32
-    lists: np.ndarray = field(init=False)
-    maxima: np.ndarray = field(init=False)
-
-    def __post_init__(self) -> None:
-        n, width = self.vectors.shape
-        order = np.lexsort((self.ids, *np.argsort(-self.vectors, axis=1)[:, :3].T[::-1])) if n and width >= 3 else np.argsort(self.ids)
-        self.vectors, self.ids, self.labels = self.vectors[order], self.ids[order], self.labels[order]
-        self.lists = np.ascontiguousarray(self.vectors.T)  # a term's weights in all examples
-        self.maxima = np.maximum.reduceat(self.lists, np.arange(0, n, self.block), axis=1) if n else np.zeros((width, 0), np.float32)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(row numbers, cosines) of the k nearest examples with cosine above 0; ties go to the lesser id."""
-        n, slack = len(self.ids), np.float32(4e-6)  # beyond rounding, so no tie is lost
-        bound = weights @ self.maxima[terms]
-        queue = np.argsort(-bound, kind="stable")
-        bound = bound[queue]
-        rows, scores, kth = np.zeros(0, np.int64), np.zeros(0, np.float32), np.float32(0)
-        at, step = 0, 4
-        while at < len(queue) and bound[at] > 0 and bound[at] >= kth - slack:
-            here = queue[at : at + step][bound[at : at + step] >= kth - slack]
-            r = (here[:, None] * self.block + np.arange(self.block)).ravel()
-            r = r[r < n]
-            s = weights @ self.lists[terms[:, None], r]
-            keep = s > max(np.float32(0), kth - slack)
-            if without is not None:
-                keep &= self.ids[r] != without
-            rows, scores = np.concatenate([rows, r[keep]]), np.concatenate([scores, s[keep]])
-            if len(rows) > k:
-                kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-                keep = scores >= kth - slack
-                rows, scores = rows[keep], scores[keep]
-            at, step = at + step, step * 2
-        best = np.lexsort((self.ids[rows], -np.round(scores, 6)))[:k]
-        return rows[best], scores[best]
+    def __init__(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, block: int = 32, dense: int = 16) -> None:
+        """``bounds[i]:bounds[i + 1]`` are example i's terms and weights."""
+        self.n = n = len(bounds) - 1
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
+        longs = np.flatnonzero(np.bincount(terms, minlength=n_terms) * dense > n)
+        self.long_of = np.full(n_terms, -1, np.int32)
+        self.long_of[longs] = np.arange(len(longs))
+        of = self.long_of[terms]
+        on = np.flatnonzero(of >= 0)
+        # examples whose weightiest long term is the same lie together: texts of one language share blocks
+        lead = np.full(n, len(longs))
+        by = on[np.lexsort((weights[on], row[on]))]
+        lead[row[by]] = of[by]  # an example's last is its weightiest
+        self.example = np.lexsort((np.arange(n), lead))  # place in the blocks -> example
+        self.place = np.empty(n, np.int64)
+        self.place[self.example] = np.arange(n)
+        row = self.place[row].astype(np.int32)
+        blocks = -(-n // block)
+        lists = np.zeros((blocks * block, len(longs)), np.float32)
+        lists[row[on], of[on]] = weights[on]
+        self.lists = lists.reshape(blocks, block, len(longs))
+        self.maxima = np.ascontiguousarray(self.lists.max(axis=1).T)
+        short = np.flatnonzero(of < 0)
+        short = short[np.argsort(terms[short], kind="stable")]
+        self.post, self.value = row[short], weights[short].astype(np.float32)
+        self.ptr = np.searchsorted(terms[short], np.arange(n_terms + 1))
+
+    def search(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For every query (examples, cosines) of its k nearest with cosine above 0, but for the example ``without``;
+        ties go to the lesser example."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for a in range(0, len(bounds) - 1, _BATCH):
+            out += self._batch(bounds[a : a + _BATCH + 1], terms, weights, k, without[a : a + _BATCH])
+        return out
+
+    def _batch(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        q, (blocks, block, width) = len(bounds) - 1, self.lists.shape
+        cells = blocks * block
+        sums = np.zeros((q, cells), np.float32)
+        dense = np.zeros((q, width), np.float32)
+        for i in range(q):
+            t, w = terms[bounds[i] : bounds[i + 1]], weights[bounds[i] : bounds[i + 1]]
+            of = self.long_of[t]
+            dense[i, of[of >= 0]] = w[of >= 0]
+            first, size = self.ptr[t], self.ptr[t + 1] - self.ptr[t]
+            ends = np.cumsum(size)
+            if len(ends) and ends[-1]:
+                at = np.arange(ends[-1]) + np.repeat(first - (ends - size), size)
+                sums[i] = np.bincount(self.post[at], self.value[at] * np.repeat(w, size), minlength=cells)
+        mine = np.flatnonzero(without >= 0)
+        sums[mine, self.place[without[mine]]] = -np.inf
+        bound = sums.reshape(q, blocks, block).max(axis=2) + dense @ self.maxima
+        kth = np.zeros(q, np.float32)
+        eager = np.argpartition(-bound, min(blocks, 2 + k) - 1, axis=1)[:, : 2 + k]
+        done = np.zeros((q, blocks), bool)
+        done[np.arange(q)[:, None], eager] = True
+        ask = done
+        for last in (False, True):
+            for b in np.flatnonzero(ask.any(axis=0)):
+                who = np.flatnonzero(ask[:, b])
+                sums[who, b * block : (b + 1) * block] += dense[who] @ self.lists[b].T
+            if not last:
+                if cells > k:
+                    first = np.take_along_axis(sums.reshape(q, blocks, block), eager[:, :, None], axis=1).reshape(q, -1)
+                    kth = np.maximum(0, -np.partition(-first, k - 1, axis=1)[:, k - 1])
+                ask = (bound >= (kth - _SLACK)[:, None]) & (bound > 0) & ~done
+                done |= ask
+        out = []
+        for i in range(q):
+            at = np.flatnonzero((sums[i] >= kth[i] - _SLACK) & (sums[i] > 0))
+            at = at[done[i, at // block]]
+            s, e = sums[i, at], self.example[np.minimum(at, self.n - 1)]
+            best = np.lexsort((e, -np.round(s, 6)))[:k]
+            out.append((e[best], s[best]))
+        return out
 
 
 @dataclass
 class ToxicityModel:
-    lookup: Lookup
-    idf: np.ndarray
+    known: Vocabulary
+    idf: np.ndarray  # inverse document frequency times the relevance of every term
     index: BlockMaxIndex
+    ids: pa.Array
+    labels: np.ndarray
     k: int
-    knots: tuple[np.ndarray, np.ndarray]
-    none_rate: float
-    background: float
+    knots: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
+    none_rate: float = 0.0
 
-    def vector(self, terms: np.ndarray, tf: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of a text's unit vector. Its words as a whole are the last term, so that the share of known
-        terms in a text sets its direction: a long text with one chance hit isn't near a short one full of them."""
-        w = np.r_[tf * self.idf[terms], self.background * words]
-        return np.r_[terms, len(self.idf)], (w / np.sqrt((w * w).sum())).astype(np.float32)
+    def vectors(self, bounds: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """Unit vectors of texts: weights of their terms."""
+        w = ((1 + np.log(tf)) * self.idf[terms]).astype(np.float32)
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        norm = np.sqrt(np.bincount(row, w.astype(np.float64) ** 2, minlength=len(bounds) - 1))
+        return (w / norm[row]).astype(np.float32)
 
-    def vote(self, terms: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        rows, cos = self.index.search(terms, weights, self.k, without)
-        return (float((cos * self.index.labels[rows]).sum() / cos.sum()) if len(rows) else 0.0), rows, cos
+    def near(self, bounds: np.ndarray, terms: np.ndarray, tf: np.ndarray, own: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(vote, nearest examples, cosines); the vote is their cosine-weighted share of toxic ones, NaN where there are none."""
+        found = self.index.search(bounds, terms, self.vectors(bounds, terms, tf), self.k, own)
+        return [(float((c * self.labels[e]).sum() / c.sum()) if len(e) else np.nan, e, c) for e, c in found]
 
-    def calibrated(self, vote: float) -> float:
-        return float(np.interp(vote, *self.knots))
+    def score(self, votes: np.ndarray) -> np.ndarray:
+        return np.where(np.isnan(votes), self.none_rate, np.interp(votes, *self.knots))
 
 
 def _monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators over the sorted distinct votes; every pool's rate is drawn to 1/2 by one example."""
+    values, at = np.unique(x, return_inverse=True)
     pools: list[list[float]] = []  # sum of x, sum of y, n
-    for v in np.unique(x):
-        m = x == v
-        pools.append([float(x[m].sum()), float(y[m].sum()), float(m.sum())])
+    for v, s, n in zip(values.tolist(), np.bincount(at, y).tolist(), np.bincount(at).tolist()):
+        pools.append([v * n, s, n])
         while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
             p = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], p)]
     return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
 
 
+def relevance(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """What a term's weight is multiplied by: the root of how many times as often toxic examples have it as clean ones,
+    from add-one counts, and at least 1, so no term loses weight and none goes."""
+    return np.sqrt(np.maximum(1.0, ((toxic + 1) / (n_toxic + 2)) / ((clean + 1) / (n_clean + 2))))
+
+
 def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
     *,
     max_labelled: int = 20_000,
-    max_terms: int = 1_024,
-    min_support: int = 4,
-    min_evidence: float = 12.0,
-    min_lift: float = 2.0,
-    background: float = 0.06,
     k: int = 15,
     key: str = "doc_id",
     text: str = "text",
@@ -160,166 +217,138 @@ def fit_toxicity(
 ) -> ToxicityModel | None:
     """The model, or None where the labels have no toxic or no clean document with words.
 
-    At most ``max_labelled`` labelled documents are used: those of the least hashed id. Of equal texts with one label the least
-    id is used, and of texts that differ every one that has a word. Terms are words and word beginnings that at least ``min_support`` toxic
-    examples have, whose log-likelihood ratio against the label is at least ``min_evidence`` and that are more than
-    ``min_lift`` times as frequent among toxic examples as among clean ones; at most ``max_terms``. All words of a text together are one more term, of idf 1, weighted by ``background``. Inverse
-    document frequencies count all documents. Votes are calibrated by leaving each example out of its own neighbours.
+    At most ``max_labelled`` labelled documents are used: those of the least hashed id. Of them only texts without a word and
+    exact copies (equal text and label; the least id stays) are no examples; of several texts with one id the one of the least digest is it. Terms are all lower-cased words of the examples.
+    A term's weight is (1 + log of its count) times its inverse document frequency, counted over all documents, times
+    its ``relevance`` to the labels. Votes are calibrated by leaving each example out of its own neighbours.
     """
     spark = docs.sparkSession
     q = lambda c: F.col(f"`{c}`")
-    d = docs.select(q(key).cast("long").alias("doc_id"), q(text).cast("string").alias("text")).filter("text is not null")
-    lab = labels.select(q(key).cast("long").alias("doc_id"), q(label).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
+    kind = docs.schema[key].dataType
+    d = docs.select(q(key).alias("doc_id"), q(text).cast("string").alias("text")).filter("text is not null")
+    lab = labels.select(q(key).cast(kind).alias("doc_id"), q(label).cast("int").alias("y")).dropna().groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y"))
     picked = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    y_of = {r[0]: int(r[1] > 0) for r in picked.collect()}
-    if not y_of or len(set(y_of.values())) < 2:
-        return None
-    given = F.broadcast(spark.createDataFrame([(i, y) for i, y in y_of.items()], "doc_id long, y int"))  # at most max_labelled rows
-    mine = d.join(given, "doc_id")
-
-    worded = mine.filter(F.col("text").rlike(r"[0-9A-Za-z_]|[^\x00-\x7F]"))
-    used = {r["i"]: r["y"] for r in worded.groupBy("y", F.sha2("text", 256).alias("m")).agg(F.min("doc_id").alias("i")).collect()}
-    n_pos, n_neg = sum(used.values()), len(used) - sum(used.values())
-    if not n_pos or not n_neg:
-        return None
-    toxic = d.join(F.broadcast(spark.createDataFrame([(i,) for i, y in used.items() if y], "doc_id long")), "doc_id")
+    mine = d.join(F.broadcast(picked), "doc_id").filter(F.col("text").rlike(r"[0-9A-Za-z_]|[^\x00-\x7F]"))
+    mine = mine.withColumn("m", F.sha2("text", 256)).groupBy("doc_id", "y").agg(F.min("m").alias("m"), F.min_by("text", "m").alias("text"))
+    once = mine.groupBy("y", "m").agg(F.min("doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text")).select("doc_id", "y", "text")
 
-    def candidates(batches):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            w = Words(pc.utf8_lower(b.column(1)))
-            owner = w.owner().astype(np.uint64)
-            found = [np.stack([owner[n], h]) for n, h, _ in _terms(w)]
-            each = np.unique(np.concatenate(found, axis=1), axis=1)
-            h, n = np.unique(each[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-    rows = toxic.mapInArrow(candidates, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_support).select("h").collect()
-    wanted = Lookup(np.array(sorted(r[0] for r in rows), np.int64).view(np.uint64))
-    marks = spark.sparkContext.broadcast((wanted, np.array(sorted(used), np.int64), np.array([used[i] for i in sorted(used)], np.int8)))
-
-    def count(batches):
-        look, ids, ys = marks.value
-        total, seen = np.zeros((len(look.hashes), 3), np.int64), 0
+            bounds, h, tf = _counts(b.column(2), None)
+            cells = [[x[i:j].tobytes() for i, j in zip(bounds, bounds[1:])] for x in (h, tf.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.binary()) for c in cells)], names=["doc_id", "y", "h", "tf"])
+
+    shape = T.StructType([T.StructField("doc_id", kind), T.StructField("y", T.IntegerType()), T.StructField("h", T.BinaryType()), T.StructField("tf", T.BinaryType())])
+    examples = written(once.mapInArrow(counted, shape), "examples")
+    found = examples.toArrow().combine_chunks()
+    found = found.take(pc.sort_indices(found, [("doc_id", "ascending")]))
+    y = found.column("y").to_numpy().astype(np.float32)
+    n_toxic, n_clean = int(y.sum()), int(len(y) - y.sum())
+    if not n_toxic or not n_clean:
+        return None
+    of = lambda c, t: np.frombuffer(b"".join(found.column(c).to_pylist()), t)
+    hashes, tf = of("h", np.uint64), of("tf", np.int32)
+    bounds = np.r_[0, np.cumsum(pc.binary_length(found.column("tf")).to_numpy() // 4)]
+    distinct, terms = np.unique(hashes, return_inverse=True)
+    terms = terms.astype(np.int32)
+    ids = found.column("doc_id").combine_chunks()
+    del found, hashes
+    known = Vocabulary(distinct)
+    sent = spark.sparkContext.broadcast(known)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(sent.value.size, np.int64), 0
         for b in slices(batches, "text"):
-            owner, term, _, _, _ = _vectors(b.column(1), look)
-            doc = pc.fill_null(b.column(0), -1).to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(ids, doc), len(ids) - 1)
-            y = np.where(ids[at] == doc, ys[at], -1)[owner]
-            total[:, 0] += np.bincount(term, minlength=len(total))
-            total[:, 1] += np.bincount(term[y == 1], minlength=len(total))
-            total[:, 2] += np.bincount(term[y == 0], minlength=len(total))
+            total += np.bincount(_counts(b.column(0), sent.value)[1], minlength=len(total))
             seen += b.num_rows
-        some = np.flatnonzero(total.any(axis=1))
-        cols = [np.r_[some, -1], *(np.r_[total[some, j], seen if j == 0 else 0] for j in range(3))]
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["t", "df", "pos", "neg"])
-
-    stats = d.mapInArrow(count, "t long, df long, pos long, neg long").groupBy("t").agg(*[F.sum(c).alias(c) for c in ("df", "pos", "neg")]).collect()
-    n_docs = max([1, *(r["df"] for r in stats if r["t"] == -1)])
-    chosen = []
-    for r in stats:
-        if r["t"] < 0 or r["pos"] < min_support or r["pos"] * n_neg <= min_lift * r["neg"] * n_pos:
-            continue
-        table = np.array([[r["pos"], n_pos - r["pos"]], [r["neg"], max(0, n_neg - r["neg"])]], float).clip(0)
-        fit = table.sum(1, keepdims=True) * table.sum(0) / table.sum()
-        g2 = 2 * float((table * np.log(np.where(table > 0, table, 1) / np.where(fit > 0, fit, 1)) * (table > 0)).sum())
-        if g2 >= min_evidence:
-            chosen.append((-g2, int(r["t"]), r["df"]))
-    chosen = sorted(chosen)[:max_terms]
-    hashes = wanted.hashes[[t for _, t, _ in chosen]] if chosen else np.zeros(0, np.uint64)
-    order = np.argsort(hashes)
-    lookup = Lookup(hashes)
-    idf = np.log((n_docs + 1) / (np.array([c[2] for c in chosen], float)[order] + 1)) + 1 if chosen else np.zeros(0)
-    sent = spark.sparkContext.broadcast(lookup)
-    ids_used = spark.createDataFrame([(i, y) for i, y in used.items()], "doc_id long, y int")
-
-    def examples(batches):
-        for b in slices(batches, "text"):
-            owner, term, tf, words, _ = _vectors(b.column(1), sent.value)
-            cuts = np.searchsorted(owner, np.arange(b.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int64))) for x in (term, tf)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *lists, pa.array(words.counts())], names=["doc_id", "y", "t", "f", "n"])
-
-    found = {r[0]: r for r in d.join(F.broadcast(ids_used), "doc_id").mapInArrow(examples, "doc_id long, y int, t array<long>, f array<long>, n long").collect()}
-    model = ToxicityModel(lookup, idf, None, k, (np.array([0.0]), np.array([0.0])), 0.0, background)  # type: ignore[arg-type]
-    some = [(i, y, *model.vector(np.array(t), np.array(f), n)) for i, y, t, f, n in sorted(found.values()) if t]
-    vectors = np.zeros((len(some), len(hashes) + 1), np.float32)
-    for j, (_, _, t, w) in enumerate(some):
-        vectors[j, t] = w
-    model.index = BlockMaxIndex(vectors, np.array([s[0] for s in some], np.int64), np.array([s[1] for s in some], np.float32))
-    votes = np.array([model.vote(t, w, without=i)[0] for i, _, t, w in some])
-    if some:
-        model.knots = _monotone(votes, np.array([s[1] for s in some], float))
-    nothing = [r[1] for r in found.values() if not r[2]]
-    model.none_rate = min(0.49, (sum(nothing) + 0.5) / (len(nothing) + 1))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some].astype(np.int32)), pa.array(np.r_[seen, total[some]])], names=["t", "n"])
+
+    stats = d.select("text").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    t, n = stats.column("t").to_numpy(), stats.column("n").to_numpy()
+    df = np.zeros(len(distinct))
+    df[t[t >= 0]] = n[t >= 0]
+    n_docs = int(n[t < 0].sum())
+    row = np.repeat(np.arange(len(y)), np.diff(bounds))
+    has = np.bincount(terms, y[row], minlength=len(distinct))
+    idf = (np.log((n_docs + 1) / (df + 1)) + 1) * relevance(has, np.bincount(terms, minlength=len(distinct)) - has, n_toxic, n_clean)
+    model = ToxicityModel(known, idf.astype(np.float32), None, ids, y, k)  # type: ignore[arg-type]
+    model.index = BlockMaxIndex(bounds, terms, model.vectors(bounds, terms, tf), len(distinct))
+    sent_model = spark.sparkContext.broadcast(model)
+
+    def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent_model.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, tf = (np.frombuffer(b"".join(b.column(c).to_pylist()), t) for c, t in ((2, np.uint64), (3, np.int32)))
+            cuts = np.r_[0, np.cumsum(pc.binary_length(b.column(3)).to_numpy() // 4)]
+            own = pc.fill_null(pc.index_in(b.column(0), value_set=m.ids), -1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _, _ in m.near(cuts, m.known(h), tf, own)]), b.column(1)], names=["vote", "y"])
+
+    tried = examples.repartition(max(1, min(len(y) // 500, spark.sparkContext.defaultParallelism * 2))).mapInArrow(leave_out, "vote double, y int").toArrow()
+    votes, truth = tried.column("vote").to_numpy(), tried.column("y").to_numpy().astype(float)
+    alone = np.isnan(votes)
+    if not alone.all():
+        model.knots = _monotone(votes[~alone], truth[~alone])
+    model.none_rate = float((truth[alone].sum() + n_toxic / len(y)) / (alone.sum() + 1))
+    sent_model.unpersist()
+    sent.unpersist()
     return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, key: str = "doc_id", text: str = "text", **fit) -> DataFrame:
-    """(doc_id, score, toxic, terms, evidence) of every row of ``docs``.
-
-    ``score`` is the calibrated share of toxic ones among the k nearest labelled examples, weighted by cosine; ``terms``
-    are those of the text that the model knows; ``evidence`` names the neighbours as "id label cosine", nearest first.
-    A document that is an example itself is not its own neighbour. The model is fitted on a bounded number of labelled
-    rows (see ``fit_toxicity``), so what is broadcast doesn't grow with the corpus; documents are scored without a shuffle.
-
-    Defined cases: null, empty and term-less texts score the rate of toxic examples among term-less ones, below 1/2, and
-    have no evidence. With no toxic or no clean example the score is null and nothing is toxic. A null key is kept as
-    null. Repeated rows score alike. Equal cosines go to the lesser example id. Several labels of one document count as
-    toxic if one is. Other columns are ignored.
+    """(doc_id, score, toxic, evidence) of every row of ``docs``.
+
+    ``score`` is the calibrated share of toxic ones among the k nearest labelled examples by TF-IDF cosine over all words of
+    the examples (see ``fit_toxicity``), weighted by cosine; ``evidence`` names them as "id label cosine", nearest first.
+    A document that is an example itself is not its own neighbour, while an exact copy of it is near to it. The model is
+    fitted on a bounded number of labelled rows, so what is broadcast doesn't grow with the corpus; documents are scored
+    without a shuffle.
+
+    Defined cases: texts that are null or empty or have no word of an example score the rate of toxic examples among those that have
+    no neighbour (with the whole share of toxic examples counted as one more) and have no evidence. With no toxic or no
+    clean example the score is null and nothing is toxic. The key keeps its type, a null key is kept as null. Repeated rows
+    score alike. Equal cosines go to the lesser example id. Several labels of one document count as toxic if one is. Very
+    long texts are read whole. Other columns are ignored. An empty table gives an empty table.
     """
     q = lambda c: F.col(f"`{c}`")
-    d = docs.select(q(key).cast("long").alias("doc_id"), q(text).cast("string").alias("text"))
+    kind = docs.schema[key].dataType
+    d = docs.select(q(key).alias("doc_id"), q(text).cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, key=key, text=text, **fit))
 
-    def run(batches):
-        known: dict[bytes, tuple] = {}
-        schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("toxic", pa.bool_()), ("terms", pa.list_(pa.string())), ("evidence", pa.list_(pa.string()))])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            score, terms, evidence = _scores(sent.value, b.column(0), b.column(1), known)
-            values = [b.column(0), pa.array(score, pa.float64(), from_pandas=True), pa.array(np.nan_to_num(score) >= threshold), pa.array(terms, pa.list_(pa.string())), pa.array(evidence, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(values, schema=schema)
+            score, evidence = _scores(sent.value, b.column(0), b.column(1), True)
+            values = [b.column(0), pa.array(score, pa.float64(), from_pandas=True), pa.array(np.nan_to_num(score) >= threshold), pa.array(evidence, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(values, names=["doc_id", "score", "toxic", "evidence"])
 
-    return d.mapInArrow(run, "doc_id long, score double, toxic boolean, terms array<string>, evidence array<string>")
+    shape = T.StructType([T.StructField("doc_id", kind), T.StructField("score", T.DoubleType()), T.StructField("toxic", T.BooleanType()), T.StructField("evidence", T.ArrayType(T.StringType()))])
+    return d.mapInArrow(run, shape)
 
 
-def _scores(model: ToxicityModel | None, ids: pa.Array, texts: pa.Array, known: dict[bytes, tuple]) -> tuple[np.ndarray, list, list]:
-    """Score, terms and evidence of every text; ``known`` keeps the answers to vectors met before."""
-    n = len(texts)
-    score = np.full(n, np.nan if model is None else model.none_rate)
-    terms: list[list[str]] = [[]] * n
-    evidence: list[list[str]] = [[]] * n
+def _scores(model: ToxicityModel | None, ids: pa.Array, texts: pa.Array, explain: bool) -> tuple[np.ndarray, list[list[str]]]:
+    """Score and evidence of every text."""
     if model is None:
-        return score, terms, evidence
-    owner, term, tf, words, shown = _vectors(texts, model.lookup)
-    counts, members = words.counts(), set(model.index.ids.tolist())
-    cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-    for a, z in zip(cuts, np.r_[cuts[1:], len(owner)]):
-        i, t = int(owner[a]), term[a:z]
-        own = ids[i].as_py()
-        mark = t.tobytes() + tf[a:z].tobytes() + counts[i].tobytes() if own is None or own not in members else b""
-        hit = known.get(mark) if mark else None
-        if hit is None:
-            vote, rows, cos = model.vote(*model.vector(t, tf[a:z], int(counts[i])), without=own)
-            names = [f"{model.index.ids[r]} {'toxic' if model.index.labels[r] else 'clean'} {c:.4f}" for r, c in zip(rows, cos)]
-            hit = (model.calibrated(vote) if len(rows) else model.none_rate, names)
-            if mark and len(known) < 100_000:
-                known[mark] = hit
-        score[i], evidence[i] = hit
-        terms[i] = sorted(shown[int(x)] for x in t)
-    return score, terms, evidence
+        return np.full(len(texts), np.nan), [[]] * len(texts)
+    own = pc.fill_null(pc.index_in(ids, value_set=model.ids.cast(ids.type)), -1).to_numpy(zero_copy_only=False)
+    near = model.near(*_counts(texts, model.known), own)
+    names = []
+    if explain:
+        shown = lambda e, c: f"{model.ids[e].as_py()} {'toxic' if model.labels[e] else 'clean'} {c:.4f}"
+        names = [[shown(int(e), c) for e, c in zip(es, cs)] for _, es, cs in near]
+    return model.score(np.array([v for v, _, _ in near])), names
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, key: str = "doc_id", text: str = "text", **fit) -> DataFrame:
     """The rows of ``docs`` that ``score_toxicity`` doesn't call toxic, with all their columns; whole rows pass the scorer,
-    so there is no join and no shuffle."""
+    so there is no join and no shuffle. Cases are defined as there."""
     sent = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, key=key, text=text, **fit))
     k, t = docs.columns.index(key), docs.columns.index(text)
 
-    def run(batches):
-        known: dict[bytes, tuple] = {}
-        for b in slices(batches, b_text):
-            score, _, _ = _scores(sent.value, pc.cast(b.column(k), pa.int64()), b.column(t), known)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, t):
+            score, _ = _scores(sent.value, b.column(k), b.column(t), False)
             yield b.filter(pa.array(~(np.nan_to_num(score) >= threshold)))
 
-    b_text = text
     return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,8 @@
 """Fingerprints, token ids and toxicity: round trips, brute force and held-out accuracy."""
 
+import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -133,21 +135,87 @@ def test_written_matrices(spark, tmp_path):
 
 def test_search_equals_full_scan():
     rng = np.random.default_rng(2)
-    v = rng.random((300, 40)).astype(np.float32) * (rng.random((300, 40)) < 0.15)
-    v[:, 0] += 0.01
-    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-    ids = rng.permutation(300)
-    index = BlockMaxIndex(v, ids, np.zeros(300, np.float32), block=16)
-    for q in range(50):
-        terms = np.flatnonzero(rng.random(40) < 0.2)
-        if not len(terms):
-            continue
-        w = rng.random(len(terms)).astype(np.float32)
-        w /= np.linalg.norm(w)
-        rows, scores = index.search(terms, w, 9)
-        full = index.vectors[:, terms] @ w
-        best = sorted(((-round(float(s), 6), int(i)) for s, i in zip(full, index.ids) if s > 0))[:9]
-        assert [i for _, i in best] == index.ids[rows].tolist() or np.allclose(sorted(scores), sorted(-s for s, _ in best), atol=1e-5)
+    for n, k in ((300, 9), (40, 15), (7, 15), (1, 1)):
+        v = rng.random((n, 60)).astype(np.float32) * (rng.random((n, 60)) < np.r_[np.full(10, 0.6), np.full(50, 0.05)])
+        v[:, 0] += 0.01
+        v = np.round(v / np.linalg.norm(v, axis=1, keepdims=True), 2).astype(np.float32)  # ties
+        row, col = np.nonzero(v)
+        index = BlockMaxIndex(np.searchsorted(row, np.arange(n + 1)), col, v[row, col], 60, block=16)
+        assert 0 < index.lists.shape[2] < 60
+        q = [np.flatnonzero(rng.random(60) < 0.2) for _ in range(150)] + [np.zeros(0, np.int64)]
+        w = [rng.random(len(t)).astype(np.float32) for t in q]
+        without = rng.integers(-1, n, len(q))
+        got = index.search(np.r_[0, np.cumsum([len(t) for t in q])], np.concatenate(q), np.concatenate(w), k, without)
+        for t, x, own, (e, c) in zip(q, w, without, got):
+            full = v[:, t] @ x
+            best = sorted((-round(float(s), 6), i) for i, s in enumerate(full) if s > 0 and i != own)[:k]
+            assert np.allclose(c, [-s for s, _ in best], atol=1e-5)
+            clear = [i for s, i in best if sum(abs(s - z) < 1e-5 for z, _ in best) == 1 and s < best[-1][0] - 1e-5]
+            assert set(clear) <= set(e.tolist())
+
+
+def brute_toxicity(docs, labels, k=15):
+    """(score, neighbours) of every document from the definitions alone, one at a time."""
+    words = {i: Counter(re.findall(r"[0-9A-Za-z_\u0080-\U0010ffff]+", (t or "").lower())) for i, t in docs.items()}
+    examples, seen = [], set()
+    for i in sorted(labels):
+        if words.get(i) and (docs[i], labels[i]) not in seen:
+            seen.add((docs[i], labels[i]))
+            examples.append(i)
+    df = Counter(w for i, t in docs.items() if t is not None for w in words[i])
+    n = sum(t is not None for t in docs.values())
+    pos, neg = (Counter(w for i in examples if labels[i] == y for w in words[i]) for y in (1, 0))
+    n_pos = sum(labels[i] for i in examples)
+    n_neg = len(examples) - n_pos
+    lift = lambda w: ((pos[w] + 1) / (n_pos + 2)) / ((neg[w] + 1) / (n_neg + 2))
+    weight = {w: (math.log((n + 1) / (df[w] + 1)) + 1) * math.sqrt(max(1, lift(w))) for w in pos | neg}
+
+    def unit(i):
+        v = {w: (1 + math.log(c)) * weight[w] for w, c in words[i].items() if w in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    of = {i: unit(i) for i in words}
+    base = {i: of[i] for i in examples}
+
+    def vote(i):
+        cos = [(sum(x * b.get(w, 0) for w, x in of[i].items()), j) for j, b in base.items() if j != i]
+        best = sorted((-c, j) for c, j in cos if c > 0)[:k]
+        return (sum(c * labels[j] for c, j in best) / sum(c for c, _ in best) if best else None), best
+
+    tried = sorted((v, labels[i]) for i in examples if (v := vote(i)[0]) is not None)
+    pools = []
+    for v, y in tried:
+        if pools and abs(pools[-1][3] - v) < 1e-9:
+            pools[-1] = [pools[-1][0] + v, pools[-1][1] + y, pools[-1][2] + 1, v]
+        else:
+            pools.append([v, y, 1, v])
+    merged = []
+    for p in pools:
+        merged.append(p[:3])
+        while len(merged) > 1 and merged[-2][1] / merged[-2][2] >= merged[-1][1] / merged[-1][2]:
+            q = merged.pop()
+            merged[-1] = [a + b for a, b in zip(merged[-1], q)]
+    alone = [labels[i] for i in examples if vote(i)[0] is None]
+    none = (sum(alone) + n_pos / len(examples)) / (len(alone) + 1)
+    x, y = [p[0] / p[2] for p in merged], [(p[1] + 0.5) / (p[2] + 1) for p in merged]
+    return {i: (none if (v := vote(i))[0] is None else float(np.interp(v[0], x, y)), v[1]) for i in docs}
+
+
+def test_scores_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**9, None), (10**9 + 1, ""), (10**9 + 2, "qqqq")], "doc_id long, text string"))
+    lab = {r["doc_id"]: int(r["toxic"] > 0) for r in labels.collect()}
+    want = brute_toxicity({r[0]: r[1] for r in docs.collect()}, lab)
+    got = {r["doc_id"]: r for r in score_toxicity(docs, labels).collect()}
+    assert set(got) == set(want) and len({round(r["score"], 3) for r in got.values()}) > 2
+    for i, (score, best) in want.items():
+        assert got[i]["score"] == pytest.approx(score, abs=2e-3), i
+        names = [e.split() for e in got[i]["evidence"]]
+        assert [float(c) for _, _, c in names] == pytest.approx([-c for c, _ in best], abs=2e-4)
+        clear = {j for c, j in best if c < best[-1][0] - 1e-5}
+        assert clear <= {int(j) for j, _, _ in names} and all((label == "toxic") == lab[int(j)] for j, label, _ in names)
 
 
 def test_held_out_accuracy(spark):
@@ -173,14 +241,15 @@ def test_unlike_labelled_texts_are_all_examples(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 200 < 40).cast("int").alias("toxic"))
     model = fit_toxicity(docs, labels)
-    assert set(range(40)) <= set(model.index.ids.tolist()) <= set(range(120))
+    assert model.ids.to_pylist() == list(range(120))
     assert {r["doc_id"] for r in score_toxicity(docs, labels).filter("toxic").collect()} == {*range(40), *range(200, 205)}
+    assert 40 <= len(fit_toxicity(docs, labels, max_labelled=50).ids) <= 50
 
 
 def test_toxicity_edge_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    extra = spark.createDataFrame([(None, None), (10**9, ""), (None, "plain"), (10**9, "")], "doc_id long, text string")
+    extra = spark.createDataFrame([(None, None), (10**9, ""), (None, "?!"), (10**9, "")], "doc_id long, text string")
     df = docs.unionByName(extra).withColumn("score", F.lit(1)).withColumn("y", F.lit(2))
     got = score_toxicity(df, labels.unionByName(labels.limit(5)))
     odd = got.filter("doc_id is null or doc_id = 1000000000").collect()
