@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import written
 from .words import Words, slices
 
 #: Texts that are searched for at once: their scores against all examples are held together.
@@ -25,7 +25,13 @@ class Vocabulary:
     """Numbers of known word hashes: an open-addressing table, looked up for whole arrays at once."""
 
     def __init__(self, hashes: np.ndarray) -> None:
-        self.hashes, self.size = hashes, len(hashes)
+        self.hashes, self.size, self.slots = hashes, len(hashes), None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"slots": None}  # made where it is used: it needn't be sent
+
+    def _fill(self) -> None:
+        hashes = self.hashes
         bits = max(10, (2 * self.size).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
         self.slots = np.full(1 << bits, -1, np.int32)
@@ -44,6 +50,8 @@ class Vocabulary:
         out = np.full(len(h), -1, np.int32)
         if not self.size:
             return out
+        if self.slots is None:
+            self._fill()
         left, at = np.arange(len(h)), h & self.mask
         while len(left):
             slot = self.slots[at]
@@ -160,16 +168,22 @@ class BlockMaxIndex:
         return out
 
 
-@dataclass
-class ToxicityModel:
-    known: Vocabulary
-    idf: np.ndarray  # inverse document frequency times the relevance of every term
-    index: BlockMaxIndex
-    ids: pa.Array
-    labels: np.ndarray
-    k: int
-    knots: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
-    none_rate: float = 0.0
+class Examples:
+    """The labelled examples as they are sent to the tasks: vocabulary, term weights and counts. A worker makes the index of them once."""
+
+    def __init__(self, hashes: np.ndarray, bounds: np.ndarray, terms: np.ndarray, tf: np.ndarray, ids: pa.Array, labels: np.ndarray) -> None:
+        self.known, self.bounds, self.terms, self.tf, self.ids, self.labels = Vocabulary(hashes), bounds, terms, tf, ids, labels
+        self.idf = np.ones(len(hashes), np.float32)  # times the relevance of every term
+        self._index: BlockMaxIndex | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_index": None}
+
+    @property
+    def index(self) -> BlockMaxIndex:
+        if self._index is None:
+            self._index = BlockMaxIndex(self.bounds, self.terms, self.vectors(self.bounds, self.terms, self.tf), self.known.size)
+        return self._index
 
     def vectors(self, bounds: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
         """Unit vectors of texts: weights of their terms."""
@@ -178,13 +192,35 @@ class ToxicityModel:
         norm = np.sqrt(np.bincount(row, w.astype(np.float64) ** 2, minlength=len(bounds) - 1))
         return (w / norm[row]).astype(np.float32)
 
-    def near(self, bounds: np.ndarray, terms: np.ndarray, tf: np.ndarray, own: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """(vote, nearest examples, cosines); the vote is their cosine-weighted share of toxic ones, NaN where there are none."""
-        found = self.index.search(bounds, terms, self.vectors(bounds, terms, tf), self.k, own)
-        return [(float((c * self.labels[e]).sum() / c.sum()) if len(e) else np.nan, e, c) for e, c in found]
+    def near(self, bounds: np.ndarray, terms: np.ndarray, tf: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """(votes, nearest examples and cosines); a vote is their cosine-weighted share of toxic ones, NaN where there are none."""
+        found = self.index.search(bounds, terms, self.vectors(bounds, terms, tf), k, own)
+        return np.array([float((c * self.labels[e]).sum() / c.sum()) if len(e) else np.nan for e, c in found]), found
 
-    def score(self, votes: np.ndarray) -> np.ndarray:
-        return np.where(np.isnan(votes), self.none_rate, np.interp(votes, *self.knots))
+
+@dataclass
+class ToxicityModel:
+    examples: Examples
+    sent: Broadcast
+    k: int
+    knots: tuple[np.ndarray, np.ndarray]
+    none_rate: float
+
+    def scorer(self) -> Callable[[pa.Array, pa.Array, bool], tuple[np.ndarray, list[list[str]]]]:
+        """For tasks: scores and evidence of texts."""
+        sent, k, knots, none_rate = self.sent, self.k, self.knots, self.none_rate
+
+        def scores(ids: pa.Array, texts: pa.Array, explain: bool) -> tuple[np.ndarray, list[list[str]]]:
+            m = sent.value
+            own = pc.fill_null(pc.index_in(ids, value_set=m.ids.cast(ids.type)), -1).to_numpy(zero_copy_only=False)
+            votes, near = m.near(*_counts(texts, m.known), own, k)
+            names: list[list[str]] = []
+            if explain:
+                shown = lambda e, c: f"{m.ids[e].as_py()} {'toxic' if m.labels[e] else 'clean'} {c:.4f}"
+                names = [[shown(int(e), c) for e, c in zip(es, cs)] for es, cs in near]
+            return np.where(np.isnan(votes), none_rate, np.interp(votes, *knots)), names
+
+        return scores
 
 
 def _monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,22 +275,18 @@ def fit_toxicity(
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.binary()) for c in cells)], names=["doc_id", "y", "h", "tf"])
 
     shape = T.StructType([T.StructField("doc_id", kind), T.StructField("y", T.IntegerType()), T.StructField("h", T.BinaryType()), T.StructField("tf", T.BinaryType())])
-    examples = written(once.mapInArrow(counted, shape), "examples")
-    found = examples.toArrow().combine_chunks()
+    found = once.mapInArrow(counted, shape).toArrow().combine_chunks()
     found = found.take(pc.sort_indices(found, [("doc_id", "ascending")]))
     y = found.column("y").to_numpy().astype(np.float32)
     n_toxic, n_clean = int(y.sum()), int(len(y) - y.sum())
     if not n_toxic or not n_clean:
         return None
     of = lambda c, t: np.frombuffer(b"".join(found.column(c).to_pylist()), t)
-    hashes, tf = of("h", np.uint64), of("tf", np.int32)
+    distinct, terms = np.unique(of("h", np.uint64), return_inverse=True)
     bounds = np.r_[0, np.cumsum(pc.binary_length(found.column("tf")).to_numpy() // 4)]
-    distinct, terms = np.unique(hashes, return_inverse=True)
-    terms = terms.astype(np.int32)
-    ids = found.column("doc_id").combine_chunks()
-    del found, hashes
-    known = Vocabulary(distinct)
-    sent = spark.sparkContext.broadcast(known)
+    given = Examples(distinct, bounds, terms.astype(np.int32), of("tf", np.int32), found.column("doc_id").combine_chunks(), y)
+    del found, terms
+    sent = spark.sparkContext.broadcast(given.known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(sent.value.size, np.int64), 0
@@ -265,36 +297,31 @@ def fit_toxicity(
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some].astype(np.int32)), pa.array(np.r_[seen, total[some]])], names=["t", "n"])
 
     stats = d.select("text").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    sent.unpersist()
     t, n = stats.column("t").to_numpy(), stats.column("n").to_numpy()
     df = np.zeros(len(distinct))
     df[t[t >= 0]] = n[t >= 0]
-    n_docs = int(n[t < 0].sum())
-    row = np.repeat(np.arange(len(y)), np.diff(bounds))
-    has = np.bincount(terms, y[row], minlength=len(distinct))
-    idf = (np.log((n_docs + 1) / (df + 1)) + 1) * relevance(has, np.bincount(terms, minlength=len(distinct)) - has, n_toxic, n_clean)
-    model = ToxicityModel(known, idf.astype(np.float32), None, ids, y, k)  # type: ignore[arg-type]
-    model.index = BlockMaxIndex(bounds, terms, model.vectors(bounds, terms, tf), len(distinct))
-    sent_model = spark.sparkContext.broadcast(model)
+    has = np.bincount(given.terms, y[np.repeat(np.arange(len(y)), np.diff(bounds))], minlength=len(distinct))
+    lift = relevance(has, np.bincount(given.terms, minlength=len(distinct)) - has, n_toxic, n_clean)
+    given.idf = ((np.log((n[t < 0].sum() + 1) / (df + 1)) + 1) * lift).astype(np.float32)
+    sent_examples = spark.sparkContext.broadcast(given)
 
     def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent_model.value
+        m = sent_examples.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            h, tf = (np.frombuffer(b"".join(b.column(c).to_pylist()), t) for c, t in ((2, np.uint64), (3, np.int32)))
-            cuts = np.r_[0, np.cumsum(pc.binary_length(b.column(3)).to_numpy() // 4)]
-            own = pc.fill_null(pc.index_in(b.column(0), value_set=m.ids), -1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, _, _ in m.near(cuts, m.known(h), tf, own)]), b.column(1)], names=["vote", "y"])
-
-    tried = examples.repartition(max(1, min(len(y) // 500, spark.sparkContext.defaultParallelism * 2))).mapInArrow(leave_out, "vote double, y int").toArrow()
+            own = b.column(0).to_numpy()
+            for e in np.array_split(own, len(own) // 256 + 1):
+                size = np.diff(m.bounds)[e]
+                cuts = np.r_[0, np.cumsum(size)]
+                at = np.arange(cuts[-1]) + np.repeat(m.bounds[e] - cuts[:-1], size)
+                yield pa.RecordBatch.from_arrays([pa.array(m.near(cuts, m.terms[at], m.tf[at], e, k)[0]), pa.array(m.labels[e])], names=["vote", "y"])
+
+    parts = max(1, min(len(y) // 500, spark.sparkContext.defaultParallelism * 2))
+    tried = spark.range(0, len(y), 1, parts).mapInArrow(leave_out, "vote double, y float").toArrow()
     votes, truth = tried.column("vote").to_numpy(), tried.column("y").to_numpy().astype(float)
     alone = np.isnan(votes)
-    if not alone.all():
-        model.knots = _monotone(votes[~alone], truth[~alone])
-    model.none_rate = float((truth[alone].sum() + n_toxic / len(y)) / (alone.sum() + 1))
-    sent_model.unpersist()
-    sent.unpersist()
-    return model
+    knots = _monotone(votes[~alone], truth[~alone]) if not alone.all() else (np.zeros(1), np.zeros(1))
+    return ToxicityModel(given, sent_examples, k, knots, float((truth[alone].sum() + n_toxic / len(y)) / (alone.sum() + 1)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, key: str = "doc_id", text: str = "text", **fit) -> DataFrame:
@@ -315,11 +342,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5
     q = lambda c: F.col(f"`{c}`")
     kind = docs.schema[key].dataType
     d = docs.select(q(key).alias("doc_id"), q(text).cast("string").alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, key=key, text=text, **fit))
+    model = fit_toxicity(docs, labels, key=key, text=text, **fit)
+    scores = model.scorer() if model else lambda ids, texts, _: (np.full(len(texts), np.nan), [[]] * len(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            score, evidence = _scores(sent.value, b.column(0), b.column(1), True)
+            score, evidence = scores(b.column(0), b.column(1), True)
             values = [b.column(0), pa.array(score, pa.float64(), from_pandas=True), pa.array(np.nan_to_num(score) >= threshold), pa.array(evidence, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(values, names=["doc_id", "score", "toxic", "evidence"])
 
@@ -327,28 +355,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5
     return d.mapInArrow(run, shape)
 
 
-def _scores(model: ToxicityModel | None, ids: pa.Array, texts: pa.Array, explain: bool) -> tuple[np.ndarray, list[list[str]]]:
-    """Score and evidence of every text."""
-    if model is None:
-        return np.full(len(texts), np.nan), [[]] * len(texts)
-    own = pc.fill_null(pc.index_in(ids, value_set=model.ids.cast(ids.type)), -1).to_numpy(zero_copy_only=False)
-    near = model.near(*_counts(texts, model.known), own)
-    names = []
-    if explain:
-        shown = lambda e, c: f"{model.ids[e].as_py()} {'toxic' if model.labels[e] else 'clean'} {c:.4f}"
-        names = [[shown(int(e), c) for e, c in zip(es, cs)] for _, es, cs in near]
-    return model.score(np.array([v for v, _, _ in near])), names
-
-
 def keep_clean(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, key: str = "doc_id", text: str = "text", **fit) -> DataFrame:
     """The rows of ``docs`` that ``score_toxicity`` doesn't call toxic, with all their columns; whole rows pass the scorer,
     so there is no join and no shuffle. Cases are defined as there."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, key=key, text=text, **fit))
+    model = fit_toxicity(docs, labels, key=key, text=text, **fit)
+    if model is None:
+        return docs
+    scores = model.scorer()
     k, t = docs.columns.index(key), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, t):
-            score, _ = _scores(sent.value, b.column(k), b.column(t), False)
-            yield b.filter(pa.array(~(np.nan_to_num(score) >= threshold)))
+            yield b.filter(pa.array(~(scores(b.column(k), b.column(t), False)[0] >= threshold)))
 
     return docs.mapInArrow(run, docs.schema)

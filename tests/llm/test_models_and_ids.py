@@ -241,9 +241,9 @@ def test_unlike_labelled_texts_are_all_examples(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 200 < 40).cast("int").alias("toxic"))
     model = fit_toxicity(docs, labels)
-    assert model.ids.to_pylist() == list(range(120))
+    assert model.examples.ids.to_pylist() == list(range(120))
     assert {r["doc_id"] for r in score_toxicity(docs, labels).filter("toxic").collect()} == {*range(40), *range(200, 205)}
-    assert 40 <= len(fit_toxicity(docs, labels, max_labelled=50).ids) <= 50
+    assert 40 <= len(fit_toxicity(docs, labels, max_labelled=50).examples.ids) <= 50
 
 
 def test_toxicity_edge_rows(spark):
