@@ -197,6 +197,65 @@ def test_coverage_with_edits(spark):
     assert words_of("Version 2.0, the") == ["version", "2.0", "the"]
 
 
+FOREIGN = [f"foreign{i}" for i in range(40)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sampled_from(sorted(TEMPLATES)), st.randoms(use_true_random=False), st.sampled_from([0, 1, 5, 30, 60, 200]), st.integers(0, 5), st.integers(1, 3))
+def test_scan_equals_whole_text_alignment(name, rng, inserted, lost, copies):
+    t = words_of(TEMPLATES[name])
+    scanner = Scanner({name: TEMPLATES[name]}, 0.85)
+    words = rng.choices(FOREIGN, k=rng.randint(0, 30))
+    wanted = []
+    for _ in range(copies):
+        gone = set(rng.sample(range(1, len(t)), min(lost, max(0, len(t) - scanner.need(t)))))
+        notice = [w for i, w in enumerate(t) if i not in gone]
+        cut = rng.randint(0, len(notice))
+        notice[cut:cut] = rng.choices(FOREIGN, k=inserted)
+        wanted.append(len(patience(notice, t)))
+        words += notice + rng.choices(FOREIGN, k=rng.choice([0, 0, 40]))
+    got = scanner.scan(" ".join(words))
+    if copies == 1:
+        assert [m[2] for m in got] == [n for n in wanted if n >= scanner.need(t)] == [len(patience(words, t))]
+    else:
+        assert len(got) == sum(n >= scanner.need(t) for n in wanted) and all(m[2] >= scanner.need(t) for m in got)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcdefg", min_size=3, max_size=8), st.text("abcdefgxy", max_size=40))
+def test_scan_of_like_words(template, text):
+    """Whatever aligns as a whole is found, whatever has no common subsequence long enough isn't."""
+    scanner = Scanner({"t": " ".join(template)}, 0.75)
+    t, need = list(template), scanner.need(list(template))
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    own = [c for c in text if c in template]
+    assert scanner.common("t", own) == lcs(own, t)
+    got = scanner.scan(" ".join(text))
+    if len(patience(own, t)) >= need:
+        assert got
+    if lcs(own, t) < need:
+        assert not got
+    for _, coverage, matched, n, first, last in got:
+        assert matched >= need and n == len(t) and coverage == matched / n
+        assert lcs(text[first : last + 1], t) >= matched and text[first] in t and text[last] in t
+    assert all(a[5] < b[4] for a, b in zip(got, got[1:]))
+
+
+def test_scan_is_linear_in_long_texts():
+    rng = random.Random(5)
+    every = [w for t in TEMPLATES.values() for w in words_of(t)]
+    long = " ".join(rng.choices([*every, *FOREIGN], k=20_000)) + " " + TEMPLATES["isc"]
+    assert Scanner(TEMPLATES, 0.85).scan(long)[-1][0] == "isc"
+
+
 def test_scan_repeats_and_empty(spark):
     t = TEMPLATES["bsd-3-clause-line"]
     df = spark.createDataFrame([(1, f"{t} and much other text in between them {t}", "x"), (1, t, "y"), (1, t, "y")], "doc_id long, text string, license string")
