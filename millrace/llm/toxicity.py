@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .frames import named, place
 from .words import Words, slices
 
 #: Texts that are searched for at once: their scores against all examples are held together.
@@ -259,10 +260,9 @@ def fit_toxicity(
     its ``relevance`` to the labels. Votes are calibrated by leaving each example out of its own neighbours.
     """
     spark = docs.sparkSession
-    q = lambda c: F.col(f"`{c}`")
-    kind = docs.schema[key].dataType
-    d = docs.select(q(key).alias("doc_id"), q(text).cast("string").alias("text")).filter("text is not null")
-    lab = labels.select(q(key).cast(kind).alias("doc_id"), q(label).cast("int").alias("y")).dropna().groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y"))
+    d = named(docs, doc_id=key, text=text).select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")
+    kind = d.schema["doc_id"].dataType
+    lab = named(labels, doc_id=key, y=label).select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("y").cast("int").alias("y")).dropna().groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y"))
     picked = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     mine = d.join(F.broadcast(picked), "doc_id").filter(F.col("text").rlike(r"[0-9A-Za-z_]|[^\x00-\x7F]"))
     mine = mine.withColumn("m", F.sha2("text", 256)).groupBy("doc_id", "y").agg(F.min("m").alias("m"), F.min_by("text", "m").alias("text"))
@@ -276,16 +276,24 @@ def fit_toxicity(
 
     shape = T.StructType([T.StructField("doc_id", kind), T.StructField("y", T.IntegerType()), T.StructField("h", T.BinaryType()), T.StructField("tf", T.BinaryType())])
     found = once.mapInArrow(counted, shape).toArrow().combine_chunks()
-    found = found.take(pc.sort_indices(found, [("doc_id", "ascending")]))
     y = found.column("y").to_numpy().astype(np.float32)
     n_toxic, n_clean = int(y.sum()), int(len(y) - y.sum())
     if not n_toxic or not n_clean:
         return None
-    of = lambda c, t: np.frombuffer(b"".join(found.column(c).to_pylist()), t)
-    distinct, terms = np.unique(of("h", np.uint64), return_inverse=True)
-    bounds = np.r_[0, np.cumsum(pc.binary_length(found.column("tf")).to_numpy() // 4)]
-    given = Examples(distinct, bounds, terms.astype(np.int32), of("tf", np.int32), found.column("doc_id").combine_chunks(), y)
-    del found, terms
+    order = pc.sort_indices(found, [("doc_id", "ascending")]).to_numpy()
+    ids, y = found.column("doc_id").combine_chunks().take(pa.array(order)), y[order]
+    size = pc.binary_length(found.column("tf")).to_numpy().astype(np.int64) // 4
+    flat = lambda c, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_buffer(), t) for x in found.column(c).chunk(0))])
+    h, tf = flat("h", np.uint64), flat("tf", np.int32)
+    del found
+    distinct = np.unique(h)
+    number = Vocabulary(distinct)
+    terms = np.concatenate([number(x) for x in np.array_split(h, len(h) // 500_000 + 1)])
+    del h, number
+    bounds = np.r_[0, np.cumsum(size[order])]
+    at = np.arange(bounds[-1], dtype=np.int32) + np.repeat(((np.cumsum(size) - size)[order] - bounds[:-1]).astype(np.int32), size[order])
+    given = Examples(distinct, bounds, terms[at], tf[at], ids, y)
+    del terms, tf, at
     sent = spark.sparkContext.broadcast(given.known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,9 +347,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5
     score alike. Equal cosines go to the lesser example id. Several labels of one document count as toxic if one is. Very
     long texts are read whole. Other columns are ignored. An empty table gives an empty table.
     """
-    q = lambda c: F.col(f"`{c}`")
-    kind = docs.schema[key].dataType
-    d = docs.select(q(key).alias("doc_id"), q(text).cast("string").alias("text"))
+    d = named(docs, doc_id=key, text=text).withColumn("text", F.col("text").cast("string"))
+    kind = d.schema["doc_id"].dataType
     model = fit_toxicity(docs, labels, key=key, text=text, **fit)
     scores = model.scorer() if model else lambda ids, texts, _: (np.full(len(texts), np.nan), [[]] * len(texts))
 
@@ -362,7 +369,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, ke
     if model is None:
         return docs
     scores = model.scorer()
-    k, t = docs.columns.index(key), docs.columns.index(text)
+    k, t = place(docs, key), place(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, t):
