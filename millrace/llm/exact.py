@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .frames import packed, place, unpacked
+
 
 def _orderable(kind: T.DataType) -> bool:
     if isinstance(kind, T.StructType):
@@ -25,23 +27,20 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", sal
 
     Defined cases: the row kept has the least ``key``, null keys last; ties go to the least values of the other columns
     in their order (map and variant columns can't be compared and break no tie). Null texts are one group, empty texts
-    another. An empty table gives an empty table. Columns of any name may be there: they travel inside a struct.
+    another. Very long texts are compared whole. An empty table gives an empty table. Columns of any name may be there: they travel
+    inside a struct, and ``count`` gets underscores behind it until it differs from them all.
     """
     if salts < 1:
         raise ValueError("salts must be at least 1")
-    rest = [c for c in docs.columns if c != text]
-    if key not in rest:
-        raise ValueError(f"no column {key!r}")
-    q = lambda c: F.col(f"`{c}`")
-    first = [q(key).isNull(), q(key)]
-    ties = [q(f.name) for f in docs.schema.fields if f.name in rest and f.name != key and _orderable(f.dataType)]
-    order: Column = F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*first, *ties])])
-    digest = F.xxhash64(q(text))
-    row = F.struct(*[q(c).alias(f"c{i}") for i, c in enumerate(rest)])
-    d = docs.select(digest.alias("d"), F.pmod(F.xxhash64(q(key), F.lit(7)), F.lit(salts)).alias("s"), q(text).alias("t"), row.alias("r"), order.alias("o"))
+    k, t = place(docs, key), place(docs, text)
+    rows, _ = packed(docs)
+    q = lambda i: F.col(f"c{i}")
+    ties = [q(i) for i, f in enumerate(docs.schema.fields) if i not in (k, t) and _orderable(f.dataType)]
+    order: Column = F.struct(*[c.alias(f"o{i}") for i, c in enumerate([q(k).isNull(), q(k), *ties])])
+    row = F.struct(*[q(i) for i in range(len(docs.columns)) if i != t])
+    d = rows.select(F.xxhash64(q(t)).alias("d"), F.pmod(F.xxhash64(q(k), F.lit(7)), F.lit(salts)).alias("s"), q(t).alias("t"), row.alias("r"), order.alias("o"))
     pick = lambda size: [F.min_by("r", "o").alias("r"), F.min("o").alias("o"), size.alias("n")]
     salted = d.groupBy("d", "s", "t").agg(*pick(F.count(F.lit(1))))
     whole = salted.groupBy("d", "t").agg(*pick(F.sum("n")))
-    back = {c: F.col(f"r.c{i}") for i, c in enumerate(rest)} | {text: F.col("t")}
-    out = [back[c].alias(c) for c in docs.columns]
-    return whole.select(*out, *([F.col("n").alias(count)] if count else []))
+    whole = whole.select(F.struct(*[(F.col("t") if i == t else F.col(f"r.c{i}")).alias(f"c{i}") for i in range(len(docs.columns))]).alias("r"), "n")
+    return unpacked(whole, "r", docs, **({count: F.col("n")} if count else {}))

@@ -9,7 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .frames import named
 from .words import Words, mix, mix_int, slices
 
 #: Smaller slices than elsewhere: the sampling tables take samples x terms numbers.
@@ -75,9 +77,9 @@ def fingerprint(docs: DataFrame, *, samples: int = 64, seed: int = 0, key: str =
     Two signatures agree in a place with probability sum(min) / sum(max) of the word counts, the generalised Jaccard
     similarity; ``similarity`` estimates it. No shuffle: a document's signature depends on its text and the seed alone.
 
-    Defined cases: a null, empty or wordless text has n_terms 0 and a null signature. A null key is kept as null.
-    Repeated rows get equal rows. Race values that are equal to the last bit go to the lesser sample hash. Other columns
-    are ignored.
+    Defined cases: a null, empty or wordless text has n_terms 0 and a null signature. The key keeps its type, a null key is
+    kept as null. Repeated rows get equal rows. Race values that are equal to the last bit go to the lesser sample hash.
+    Very long texts are read whole. Other columns are ignored. An empty table gives an empty table.
     """
     if samples < 1:
         raise ValueError("samples must be at least 1")
@@ -89,7 +91,8 @@ def fingerprint(docs: DataFrame, *, samples: int = 64, seed: int = 0, key: str =
             lists = pc.if_else(pa.array(n > 0), lists, pa.scalar(None, lists.type))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int32)), lists], names=["doc_id", "n_terms", "signature"])
 
-    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_terms int, signature array<int>")
+    d = named(docs, doc_id=key, text=text).withColumn("text", F.col("text").cast("string"))
+    return d.mapInArrow(run, T.StructType([d.schema["doc_id"], T.StructField("n_terms", T.IntegerType()), T.StructField("signature", T.ArrayType(T.IntegerType()))]))
 
 
 def similarity(a, b):

@@ -10,10 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from millrace.scratch import written
+from ..scratch import discard, written
 
+from .frames import named as chosen
+from .frames import packed, place, unpacked
 from .words import Words, mix, mix_int, slices, windows
 
 #: Minwise tokens of a text; the similarity of two texts is the share of tokens that agree.
@@ -90,6 +91,7 @@ def near_pairs(
     trees: int = 8,
     leaf: int = 48,
     depth: int = 5,
+    block: int = 4096,
     key: str = "doc_id",
     text: str = "text",
 ) -> tuple[DataFrame, DataFrame]:
@@ -101,12 +103,16 @@ def near_pairs(
     to one child for each value of such a token: two texts of similarity at or above the threshold are expected together
     in at least one child, unrelated ones in hardly any. Nodes of at most ``leaf`` texts are compared exhaustively; larger
     ones branch on. Nodes still larger after ``depth`` levels are compared without any cap by ``components``: texts that
-    stay together that long are copies, for which this is near linear. Texts with equal tokens enter as one.
+    stay together that long are mostly copies, for which this is near linear. A node of more than ``block`` texts is never
+    held in one task: it is compared in parts of about that size, each with some texts of all parts among it, and then the
+    texts outside the node's main component so far meet every part, block by block. Texts with equal tokens enter as one.
+    Texts are told apart by 64-bit hashes of key and text together with the key.
     """
     spark = docs.sparkSession
     rate = 1 / (threshold * TOKENS)
     least = int(np.ceil(threshold * TOKENS))
-    named = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    named = chosen(docs, doc_id=key, text=text).withColumn("text", F.col("text").cast("string"))
+    kind = named.schema["doc_id"].dataType
     named = named.select(F.xxhash64("doc_id", "text").alias("id"), "doc_id", "text")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,12 +129,14 @@ def near_pairs(
     root, token = np.arange(trees, dtype=np.uint64), np.zeros(0, np.int64)
     row, token = branches(1, root, rate)
     root = root[row]
-    sketches = written(named.mapInArrow(sketch, "id long, doc_id long, sig binary, nodes array<long>"), "sketches")
-    texts = sketches.groupBy("id").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
+    shape = T.StructType([T.StructField("id", T.LongType()), T.StructField("doc_id", kind), T.StructField("sig", T.BinaryType()), T.StructField("nodes", T.ArrayType(T.LongType()))])
+    sketches = written(named.mapInArrow(sketch, shape), "sketches")
+    texts = sketches.groupBy("id", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
     same = sketches.filter("sig is not null").select("id", F.md5("sig").alias("m"))
     heads = same.groupBy("m").agg(F.min("id").alias("id"))
     equal = same.join(heads.withColumnRenamed("id", "other"), "m").filter("id != other").select("id", "other")
     kept = sketches.filter("sig is not null").join(heads.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    kept = written(kept.select("id", "sig", "nodes"), "kept")
     sigs = kept.select("id", "sig")
 
     def grow(level: int):
@@ -143,18 +151,20 @@ def near_pairs(
 
         return run
 
-    size = Window.partitionBy("node")
     done: list[DataFrame] = []
     level, here = 1, kept.select(F.explode("nodes").alias("node"), "id")
     while True:
-        here = written(here.withColumn("n", F.count(F.lit(1)).over(size)).filter("n > 1"), f"level{level}")
+        sizes = here.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")  # no node is held in a task
+        made, here = here, written(here.join(sizes, "node"), f"level{level}")
+        if level > 1:
+            discard(made)
         large = here.filter(F.col("n") > leaf)
         last = level == depth or not large.take(1)
         done.append(here if last else here.filter(F.col("n") <= leaf))
         if last:
             break
         level += 1
-        here = large.join(sigs, "id").select("id", "sig", "node").mapInArrow(grow(level), "node long, id long")
+        here = written(large.join(sigs, "id").select("id", "sig", "node").mapInArrow(grow(level), "node long, id long"), f"branch{level}")
     nodes = done[0]
     for x in done[1:]:
         nodes = nodes.unionByName(x)
@@ -192,9 +202,30 @@ def near_pairs(
         if held:
             yield pairs(*[np.concatenate(x) for x in zip(*held)])
 
-    members = nodes.select("node", "id").join(sigs, "id").select("node", "id", "sig")
-    found = members.repartition("node").sortWithinPartitions("node", "id").mapInArrow(compare, "id long, other long").distinct()
-    return texts, found.unionByName(equal)
+    def compared(nodes: DataFrame) -> DataFrame:
+        members = nodes.select("node", "id").join(sigs, "id").select("node", "id", "sig")
+        return members.repartition("node").sortWithinPartitions("node", "id").mapInArrow(compare, "id long, other long").distinct()
+
+    big = nodes.filter(F.col("n") > block)
+    if not big.take(1):
+        return texts, compared(nodes).unionByName(equal)
+    parts = F.ceil(F.col("n") / block).cast("int")
+    part = lambda of, salt: F.pmod(F.xxhash64("id", F.lit(salt)), of).cast("int")
+    every = lambda of, name: F.explode(F.sequence(F.lit(0), of - 1)).alias(name)
+    key_of = lambda *c: F.xxhash64("node", *c).alias("node")
+    # each part of a big node, and with it the same few texts of the node
+    pivots = big.groupBy("node", "n", part(F.lit(16), 1).alias("slot")).agg(F.min_by("id", F.xxhash64("id", F.lit(2))).alias("id"))
+    first = big.select(key_of(part(parts, 3)), "id").unionByName(pivots.select("node", "id", every(parts, "k")).select(key_of("k"), "id")).distinct()
+    pairs = written(compared(nodes.filter(F.col("n") <= block).select("node", "id").unionByName(first)).unionByName(equal), "pairs")
+    # every text outside a node's main component so far, with every part of the node
+    rooted = big.join(connected(pairs), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    held = rooted.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("left"))
+    rooted = written(rooted.join(held.filter("left > 0"), "node"), "rooted")
+    outside = F.ceil(F.col("left") / block).cast("int")
+    left = rooted.filter("root != main").select("node", "id", part(outside, 4).alias("u"), every(parts, "k"))
+    right = rooted.select("node", "id", every(outside, "u"), part(parts, 3).alias("k"))
+    second = left.unionByName(right).select(key_of("u", "k"), "id").distinct()
+    return texts, pairs.unionByName(compared(second)).distinct()
 
 
 def connected(pairs: DataFrame) -> DataFrame:
@@ -213,7 +244,8 @@ def connected(pairs: DataFrame) -> DataFrame:
         low2 = e2.groupBy("a").agg(F.min("b").alias("m"))
         tied = e2.join(low2, "a")
         e3 = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low2.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
-        e = written(e3, "edges")
+        before_e, e = e, written(e3, "edges")
+        discard(before_e)
         state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             return e.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
@@ -227,7 +259,8 @@ def near_groups(docs: DataFrame, **how) -> DataFrame:
     t = texts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = t.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("least"), F.count(F.lit(1)).alias("size"))
     t = t.join(groups, "root")
-    return t.select("id", "doc_id", "rows", F.col("least.doc_id").alias("group_id"), "size", (F.col("id") == F.col("least.id")).alias("first"))
+    first = (F.col("id") == F.col("least.id")) & F.col("doc_id").eqNullSafe(F.col("least.doc_id"))
+    return t.select("id", "doc_id", "rows", F.col("least.doc_id").alias("group_id"), "size", first.alias("first"))
 
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
@@ -235,25 +268,21 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     group's size, and whether it is the one that stays.
 
     Groups are the connected components of near copies (see ``near_pairs``). Defined cases: null, empty and wordless
-    texts are nobody's near copy and stay. A text of fewer words than a shingle is one shingle. A null key is kept as
-    null and stays only where its whole group has none. Rows of equal key and text are one; equal keys with different
-    texts are different texts. Ties go to the least key, then the least hash of key and text. Other columns are ignored.
-    An empty table gives an empty table.
+    texts are nobody's near copy and stay. A text of fewer words than a shingle is one shingle. The key keeps its type. A null
+    key is kept as null and stays only where its whole group has none. Rows of equal key and text are one; equal keys with different
+    texts are different texts. Ties go to the least key, then the least hash of key and text. Very long texts are read
+    whole. Other columns are ignored, whatever their names. An empty table gives an empty table.
     """
     return near_groups(docs, **how).select("doc_id", "group_id", "size", F.col("first").alias("kept"))
 
 
 def near_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, one for each group, with all their columns. Of rows with equal
-    key and text one stays."""
-    groups = near_groups(docs, key=key, text=text, **how)
-    name = "id"
-    while name in docs.columns:
-        name += "_"
-    with_id = docs.withColumn(name, F.xxhash64(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string")))
-    gone = groups.filter(~F.col("first")).select(F.col("id").alias(name))
-    left = with_id.join(gone, name, "left_anti")
-    many = groups.filter("first and rows > 1").select(F.col("id").alias(name), F.lit(True).alias(name + "many"))
-    left = left.join(many, name, "left")
-    once = left.filter(F.col(name + "many").isNotNull()).dropDuplicates([name])
-    return left.filter(F.col(name + "many").isNull()).unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key and text one stays. Columns of any name may be there: they travel inside a struct."""
+    groups = written(near_groups(docs, key=key, text=text, **how).filter("not first or rows > 1").select(F.col("id").alias("gid"), F.col("doc_id").alias("gkey"), "first"), "groups")
+    rows, row = packed(docs)
+    k, t = F.col(f"c{place(docs, key)}"), F.col(f"c{place(docs, text)}")
+    rows = rows.select(F.xxhash64(k, t.cast("string")).alias("id"), k.alias("k"), row.alias("r"))
+    met = lambda g, how: rows.join(g, (F.col("id") == F.col("gid")) & F.col("k").eqNullSafe(F.col("gkey")), how)
+    once = met(groups.filter("first"), "left_semi").dropDuplicates(["id", "k"])
+    return unpacked(met(groups, "left_anti").unionByName(once), "r", docs)

@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..scratch import written
+from .frames import named as chosen
+from .frames import packed, place, unpacked
 from .words import Words, mix, mix_int, slices, window_mask, windows
 
+#: Marks of more than ``hot`` runs are collected and broadcast up to this number, and joined beyond it.
+MAX_HOT = 100_000
 #: Words of the gram that marks a window's place in the shuffle.
 MARK = 9
 _NONE = 31
@@ -108,11 +114,34 @@ def _extended(whole: DataFrame, named: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), d, a, z], names=["doc_id", "ref_doc_id", "shift", "a", "z"])
 
     met = pairs.join(texts, "id").join(texts.select(F.col("id").alias("ref_id"), F.col("text").alias("ref_text")), "ref_id")
-    grown = met.select("doc_id", "ref_doc_id", "runs", "text", "ref_text").mapInArrow(extend, "doc_id long, ref_doc_id long, shift int, a int, z int")
+    met = met.select("doc_id", "ref_doc_id", "runs", "text", "ref_text")
+    grown = met.mapInArrow(extend, T.StructType([met.schema["doc_id"], met.schema["ref_doc_id"], *(T.StructField(c, T.IntegerType()) for c in ("shift", "a", "z"))]))
     return whole.filter("not open").select("doc_id", "ref_doc_id", "shift", "a", "z").unionByName(grown)
 
 
-def find_repeats(docs: DataFrame, *, min_words: int = 50, block: int = 25, maximal: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _ordered() -> list[Column]:
+    return [F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("id"), F.col("s")]
+
+
+def _least_places(each: DataFrame) -> DataFrame:
+    """Windows with the least other place that has the same, ``ref``; windows of one place alone go. One group is in one task."""
+    order = Window.partitionBy("g", "h").orderBy(*_ordered())
+    spot = F.struct(*_ordered())
+    return each.withColumn("ref", F.when(F.row_number().over(order) == 1, F.lead(spot).over(order)).otherwise(F.first(spot).over(order))).filter("ref is not null")
+
+
+def _least_places_spread(each: DataFrame) -> DataFrame:
+    """The same for groups of any size: a group's least place and its second least come from sums of partial minima, and its
+    rows meet them by joins that split a large group."""
+    spot = F.struct(*_ordered())
+    least = each.groupBy("g", "h").agg(F.min(spot).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", "h", "least")
+    met = each.join(least, ["g", "h"])
+    second = met.filter(spot != F.col("least")).groupBy("g", "h").agg(F.min(spot).alias("ref"))
+    others = met.filter(spot != F.col("least")).withColumnRenamed("least", "ref")
+    return others.unionByName(met.filter(spot == F.col("least")).drop("least").join(second, ["g", "h"]))
+
+
+def find_repeats(docs: DataFrame, *, min_words: int = 50, block: int = 25, maximal: bool = False, hot: int = 100_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start_word, n_words, ref_doc_id, ref_start_word): every passage of at least ``min_words`` words that
     occurs in another place too, and one such place.
 
@@ -132,14 +161,25 @@ def find_repeats(docs: DataFrame, *, min_words: int = 50, block: int = 25, maxim
     A word is a run of ASCII letters, digits and underscores and of other characters beyond ASCII; case counts, what
     lies between words doesn't. Windows of one row overlap or touch and all equal the reference's words in step.
 
-    Defined cases: null and empty texts and texts shorter than ``min_words`` have no rows. A null key is kept as null and
-    comes after all others. Rows of equal key and text count once; equal keys with different texts are different places.
+    A mark of more than ``hot`` runs of windows isn't sorted in one task: its least places are found by partial minima. The result
+    is the same.
+
+    Defined cases: null and empty texts and texts shorter than ``min_words`` have no rows. The key keeps its type; a null key is kept as null
+    and comes after all others. Very long texts are read whole. Rows of equal key and text count once; equal keys with different texts are different places.
     A passage repeated inside one text refers to its own document. Other columns are ignored. An empty table gives an
     empty table. Texts are told apart by 64-bit hashes of key and text, windows by 64-bit hashes and their mark's.
     """
+    whole, named = _repeats(docs, min_words, block, hot, key, text)
+    if maximal:
+        whole = _extended(whole, named, min_words)
+    return whole.select("doc_id", F.col("a").alias("start_word"), (F.col("z") - F.col("a") + min_words).alias("n_words"), "ref_doc_id", (F.col("a") + F.col("shift")).alias("ref_start_word"))
+
+
+def _repeats(docs: DataFrame, min_words: int, block: int, hot: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(runs of windows with one reference in step as id, doc_id, ref_id, ref_doc_id, shift, a, z; texts as id, doc_id, text)."""
     if block <= MARK or block - MARK >= _NONE or min_words < 2 * block - 1:
         raise ValueError(f"block must lie in {MARK + 1}..{MARK + _NONE - 1} and min_words be at least 2 x block - 1")
-    named = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).filter(F.length("text") >= 2 * min_words - 1)
+    named = chosen(docs, doc_id=key, text=text).select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") >= 2 * min_words - 1)
     named = named.select(F.xxhash64("doc_id", "text").alias("id"), "doc_id", "text")
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +195,10 @@ def find_repeats(docs: DataFrame, *, min_words: int = 50, block: int = 25, maxim
 
     bits = lambda at, n: F.shiftright("x", at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
     met = named.select("id", "text").mapInArrow(probes, "g long, id long, x long")
-    by = Window.partitionBy("g")
-    met = met.withColumn("n", F.count(F.lit(1)).over(by)).filter("n > 1")
-    met = met.withColumn("own", bits(0, 5)).withColumn("blocks", F.bit_or(F.when(F.col("own") < _NONE, F.expr("shiftleft(1, own)")).otherwise(0)).over(by))
+    met = met.withColumn("own", bits(0, 5))
+    # a mark's places are only counted where they lie: a mark that a third of all texts have is never in one task
+    marks = met.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.bit_or(F.when(F.col("own") < _NONE, F.expr("shiftleft(1, own)")).otherwise(0)).alias("blocks"))
+    met = met.join(marks.filter("n > 1 and blocks != 0").select("g", "blocks"), "g")
     # the bits of offsets lo..hi at which the group has a block
     span = F.expr(f"(shiftleft(1L, cast((x >> 5) & 31 as int) + 1) - 1) & ~(shiftleft(1L, cast((x >> 10) & 31 as int)) - 1) & cast(blocks as bigint) & {(1 << _NONE) - 1}L")
     hits = met.withColumn("m", span).filter("m != 0").groupBy("id").agg(F.collect_list(F.expr("shiftleft(shiftright(x, 15), 32) | m")).alias("hits"))
@@ -187,17 +228,55 @@ def find_repeats(docs: DataFrame, *, min_words: int = 50, block: int = 25, maxim
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), b.column(1).take(take), b.column(0).take(take), pa.array((s0 - base).astype(np.int32)), hashes], names=["g", "doc_id", "id", "s", "hashes"])
 
-    found = named.join(hits, "id").select("id", "doc_id", "text", "hits").mapInArrow(extensions, "g long, doc_id long, id long, s int, hashes array<long>")
-    found = found.repartition("g").dropDuplicates(["g", "id", "s"]).withColumn("n", F.count(F.lit(1)).over(by)).filter("n > 1")
-    each = found.select("g", "doc_id", "id", F.col("s").alias("s0"), F.posexplode("hashes").alias("i", "h")).withColumn("s", F.col("s0") + F.col("i"))
-    order = Window.partitionBy("g", "h").orderBy(F.col("doc_id").asc_nulls_last(), "id", "s")
-    spot = F.struct("doc_id", "id", "s")
-    each = each.withColumn("ref", F.when(F.row_number().over(order) == 1, F.lead(spot).over(order)).otherwise(F.first(spot).over(order))).filter("ref is not null")
+    shape = T.StructType([T.StructField("g", T.LongType()), named.schema["doc_id"], T.StructField("id", T.LongType()), T.StructField("s", T.IntegerType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
+    found = written(named.join(hits, "id").select("id", "doc_id", "text", "hits").mapInArrow(extensions, shape), "runs")
+    sizes = found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("g")
+    often = [r[0] for r in sizes.limit(MAX_HOT + 1).collect()]
+    spread = lambda d: d.select("g", "doc_id", "id", F.col("s").alias("s0"), F.posexplode("hashes").alias("i", "h")).withColumn("s", F.col("s0") + F.col("i"))
+    if not often:
+        each = _least_places(spread(found.repartition("g").dropDuplicates(["g", "id", "s"])))
+    else:
+        table = F.broadcast(named.sparkSession.createDataFrame([(x,) for x in often], "g long")) if len(often) <= MAX_HOT else sizes
+        cold = found.join(table, "g", "left_anti").repartition("g").dropDuplicates(["g", "id", "s"])
+        warm = found.join(table, "g", "left_semi").dropDuplicates(["g", "id", "s"])
+        each = _least_places(spread(cold)).unionByName(_least_places_spread(spread(warm)))
     runs = each.groupBy("g", "doc_id", "id", "s0", F.col("ref.doc_id").alias("ref_doc_id"), F.col("ref.id").alias("ref_id"), (F.col("ref.s") - F.col("s")).alias("shift")).agg(F.min("s").alias("a"), F.max("s").alias("z"))
     along = Window.partitionBy("id", "ref_id", "shift").orderBy("a")
     runs = runs.withColumn("new", (F.col("a") > F.coalesce(F.max("z").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1 << 30)) + min_words).cast("int"))
     runs = runs.withColumn("island", F.sum("new").over(along))
     whole = runs.groupBy("id", "ref_id", "shift", "island").agg(F.first("doc_id").alias("doc_id"), F.first("ref_doc_id").alias("ref_doc_id"), F.min("a").alias("a"), F.max("z").alias("z"))
-    if maximal:
-        whole = _extended(whole, named, min_words)
-    return whole.select("doc_id", F.col("a").alias("start_word"), (F.col("z") - F.col("a") + min_words).alias("n_words"), "ref_doc_id", (F.col("a") + F.col("shift")).alias("ref_start_word"))
+    return whole, named
+
+
+def drop_repeats(docs: DataFrame, *, min_words: int = 50, block: int = 25, hot: int = 100_000, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with every repeated passage of at least ``min_words`` words cut out of all places but the least one (doc_id, then
+    word) that has it; what lies between a cut passage's words goes with them.
+
+    Rows of ``find_repeats`` whose reference comes before them are cut, so the first place of every passage stays whole. Defined cases
+    are those of ``find_repeats``; texts without a cut pass as they are, and a text that is all cut becomes empty. A text that
+    repeats itself in overlap keeps its first period. Rows of equal key and text are cut alike and all stay. Columns of any name may be there.
+    """
+    whole, _ = _repeats(docs, min_words, block, hot, key, text)
+    spot = lambda of, id, at: F.struct(F.col(of).isNull(), F.col(of), F.col(id), at)
+    later = spot("ref_doc_id", "ref_id", F.col("a") + F.col("shift")) < spot("doc_id", "id", F.col("a"))
+    cuts = whole.filter(later).groupBy("id").agg(F.collect_list(F.expr(f"shiftleft(cast(a as bigint), 32) | (z + {min_words})")).alias("cuts"))
+    rows, row = packed(docs)
+    k, t = F.col(f"c{place(docs, key)}"), F.col(f"c{place(docs, text)}")
+    rows = rows.select(F.xxhash64(k, t.cast("string")).alias("id"), t.cast("string").alias("text"), row.alias("r")).join(cuts, "id", "left")
+
+    @F.pandas_udf(T.StringType())
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for x, some in zip(texts, spans):
+            w = Words(pa.array([x]))
+            keep = np.ones(len(w.buf), bool)
+            for a, z in ((int(s) >> 32, (int(s) & 0xFFFFFFFF) - 1) for s in some):
+                keep[w.starts[a] : w.starts[z] + w.lens[z]] = False
+            n = int(w.offsets[-1])
+            out.append(w.buf[:n][keep[:n]].tobytes().decode("utf-8"))
+        return pd.Series(out, dtype=object)
+
+    changed = rows.filter("cuts is not null").withColumn("text", cut("text", "cuts"))
+    whole = rows.filter("cuts is null").unionByName(changed)
+    kind = docs.schema[place(docs, text)].dataType
+    return unpacked(whole.withColumn("r", F.col("r").withField(f"c{place(docs, text)}", F.col("text").cast(kind))), "r", docs)

@@ -11,14 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .frames import named
 from .words import Words, slices
 
 #: Where the vocabulary files of public tokenizers lie by default; a parameter everywhere.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How a byte-level BPE of that kind cuts a text before merging.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SCHEMA = "shard string, row int, n_tokens int, input_ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_starts array<long>"
 
 
 def _table(*spans: tuple[int, int]) -> np.ndarray:
@@ -225,8 +226,9 @@ def pack_token_ids(
     decreasing, so nothing is shuffled and no task needs more than a group in memory. Groups of this size leave less
     than one part-filled row in a hundred, which is what packing across tasks could save. ``shard`` and ``row`` name a row.
 
-    Defined cases: null and empty texts have no tokens and appear in no row. A null key is kept as null. Repeated rows
-    are packed as documents of their own. Special tokens' strings in a text are ordinary text. Other columns are ignored.
+    Defined cases: null and empty texts have no tokens and appear in no row. The key keeps its type, a null key is kept as
+    null. Repeated rows are packed as documents of their own. Special tokens' strings in a text are ordinary text. Very long
+    texts are encoded whole and cut between tokens. Other columns are ignored. An empty table gives an empty table.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
@@ -237,40 +239,43 @@ def pack_token_ids(
         context = TaskContext.get()
         part, group = context.partitionId() if context else 0, 0
         encoder = encoder_at(tokenizer)
-        keys: list = []
+        keys: list[pa.Array] = []
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         held = 0
         for b in slices(batches, "text", 8 << 20):
             fresh, bounds = encoder.encode(b.column(1))
-            keys += b.column(0).to_pylist()
+            keys.append(b.column(0))
             ids.append(fresh)
             sizes.append(np.diff(bounds))
             held += fresh.nbytes
             if held >= group_bytes:
-                yield from _rows(f"{part:06d}-{group:04d}", keys, np.concatenate(ids), np.concatenate(sizes), capacity, pad_id)
+                yield from _rows(f"{part:06d}-{group:04d}", pa.concat_arrays(keys), np.concatenate(ids), np.concatenate(sizes), capacity, pad_id)
                 keys, ids, sizes, held, group = [], [], [], 0, group + 1
         if keys:
-            yield from _rows(f"{part:06d}-{group:04d}", keys, np.concatenate(ids), np.concatenate(sizes), capacity, pad_id)
+            yield from _rows(f"{part:06d}-{group:04d}", pa.concat_arrays(keys), np.concatenate(ids), np.concatenate(sizes), capacity, pad_id)
 
-    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    d = named(docs, doc_id=key, text=text).withColumn("text", F.col("text").cast("string"))
+    kinds = {"shard": T.StringType(), "row": T.IntegerType(), "n_tokens": T.IntegerType(), "input_ids": T.BinaryType(), "cu_seqlens": T.ArrayType(T.IntegerType()), "position_resets": T.ArrayType(T.IntegerType()), "doc_ids": T.ArrayType(d.schema["doc_id"].dataType), "doc_starts": T.ArrayType(T.LongType())}
+    return d.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in kinds.items()]))
 
 
-def _rows(shard: str, keys: list, ids: np.ndarray, sizes: np.ndarray, capacity: int, pad_id: int) -> Iterator[pa.RecordBatch]:
+def _rows(shard: str, keys: pa.Array, ids: np.ndarray, sizes: np.ndarray, capacity: int, pad_id: int) -> Iterator[pa.RecordBatch]:
     doc, start, length = _pieces(sizes, capacity)
     first = (np.cumsum(sizes) - sizes)[doc] + start
     packed = best_fit_decreasing(length, capacity)
-    schema = pa.schema([("shard", pa.string()), ("row", pa.int32()), ("n_tokens", pa.int32()), ("input_ids", pa.binary()), *((c, pa.list_(pa.int32())) for c in ("cu_seqlens", "position_resets")), *((c, pa.list_(pa.int64())) for c in ("doc_ids", "doc_starts"))])
+    schema = pa.schema([("shard", pa.string()), ("row", pa.int32()), ("n_tokens", pa.int32()), ("input_ids", pa.binary()), *((c, pa.list_(pa.int32())) for c in ("cu_seqlens", "position_resets")), ("doc_ids", pa.list_(keys.type)), ("doc_starts", pa.list_(pa.int64()))])
     for a in range(0, len(packed), 1000):
         cols: list[list] = [[] for _ in schema]
         for r, items in enumerate(packed[a : a + 1000], a):
             ends = np.cumsum(length[items])
             matrix_row = np.full(capacity, pad_id, ids.dtype)
             matrix_row[: ends[-1]] = np.concatenate([ids[first[i] : first[i] + length[i]] for i in items])
-            values = (shard, r, int(ends[-1]), matrix_row.tobytes(), np.r_[0, ends], np.r_[0, ends[:-1]], [keys[doc[i]] for i in items], start[items])
+            values = (shard, r, int(ends[-1]), matrix_row.tobytes(), np.r_[0, ends], np.r_[0, ends[:-1]], keys.take(pa.array(doc[items])), start[items])
             for c, v in zip(cols, values):
                 c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+        ids_of = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in cols[6]])].astype(np.int32)), pa.concat_arrays(cols[6]))
+        yield pa.RecordBatch.from_arrays([ids_of if f.name == "doc_ids" else pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
 def write_packed(packed: DataFrame, path: str) -> DataFrame:

@@ -135,3 +135,29 @@ def test_leaf_size_does_not_change_groups(spark, leaf):
     rows = [(i, edited(rng, base, 0.02)) for i in range(60)] + [(100 + i, text(rng, 90)) for i in range(40)]
     got = groups(spark, rows, leaf=leaf)
     assert {got[i]["group_id"] for i in range(60)} == {0}
+
+
+@pytest.mark.parametrize("kind", ["alike", "two kinds", "chain"])
+def test_large_nodes_in_blocks(spark, kind):
+    """Nodes beyond ``block`` texts are compared in parts, with the components that one task finds."""
+    rng = random.Random(21)
+    frame = text(rng, 60)
+    if kind == "alike":
+        rows = [(i, edited(rng, frame, 0.03)) for i in range(150)]
+    elif kind == "two kinds":
+        tails = [text(rng, 25), text(rng, 25)]
+        rows = [(i, f"{frame} {edited(rng, tails[i % 2], 0.02)} {text(rng, 2)}") for i in range(150)]
+    else:
+        words = (frame + " " + text(rng, 60)).split()
+        rows = [(i, " ".join(words[i // 3 : i // 3 + 60])) for i in range(170)]
+    a, b = (groups(spark, rows, leaf=4, depth=2, block=n) for n in (4096, 16))
+    assert {k: (r["group_id"], r["size"], r["kept"]) for k, r in a.items()} == {k: (r["group_id"], r["size"], r["kept"]) for k, r in b.items()}
+
+
+def test_many_half_alike_pages(spark):
+    """Pages of one template whose words beyond it differ: large nodes end, and no page is held against all others in one task."""
+    rng = random.Random(22)
+    frame = text(rng, 40)
+    rows = [(i, f"{frame} {text(rng, 20)}") for i in range(6_000)]
+    got = groups(spark, rows, block=512)
+    assert len(got) == 6_000 and sum(r["kept"] for r in got.values()) < 60

@@ -5,7 +5,8 @@ import re
 
 import pytest
 
-from millrace.llm.repeats import find_repeats
+from millrace.llm import repeats
+from millrace.llm.repeats import drop_repeats, find_repeats
 
 SCHEMA = "doc_id long, text string"
 
@@ -134,3 +135,41 @@ def test_rows_of_the_query_are_maximal(spark, tmp_path, seed):
     assert {(2, 5, 120, 3, 7), (3, 7, 120, 2, 5)} <= set(got)
     covered = lambda found: {(k, i) for k, a, n, *_ in found for i in range(a, a + n)}
     assert covered(got) == covered(every)
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_hot_passages_in_parts(spark, monkeypatch, broadcast):
+    """Marks of many places go another way to the same result."""
+    rng = random.Random(11)
+    p, q = text(rng, 70), text(rng, 60)
+    rows = [(i, f"{text(rng, 8)} {p} {text(rng, 5)} {q if i % 3 else ''} {text(rng, 4)}") for i in range(40)] + [(None, p), (7, p), (7, p)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(repeats, "MAX_HOT", broadcast)
+    for maximal in (False, True):
+        a, b = ([str(r) for r in find_repeats(df, maximal=maximal, hot=h).collect()] for h in (100_000, 3))
+        assert sorted(a) == sorted(b) and len(a) > 80
+    assert found(spark, rows) == brute(rows, 50)
+
+
+def test_drop_repeats_keeps_the_first_place(spark):
+    rng = random.Random(12)
+    p, q = text(rng, 80), text(rng, 49)
+    rows = [(3, f"{text(rng, 9)} {p}! {text(rng, 9)} {q}"), (1, f"{text(rng, 20)}\n{p}; {text(rng, 3)}"), (2, p), (4, f"{q} {text(rng, 30)} {p} {text(rng, 7)} {p}"), (5, None), (None, p), (6, "")]
+    df = spark.createDataFrame([(*r, "mine", 1) for r in rows], SCHEMA + ", id string, cuts long")
+    got = drop_repeats(df)
+    assert got.columns == df.columns
+    by = {r["doc_id"]: r for r in got.collect()}
+    want = {k: t if k == 1 else t and t.replace(p, "") for k, t in rows}
+    assert {k: r["text"] for k, r in by.items()} == want and all(r["id"] == "mine" and r["cuts"] == 1 for r in by.values())
+    assert find_repeats(got).count() == 0
+    assert drop_repeats(df.limit(0)).count() == 0
+
+
+def test_hot_passage_of_many_texts(spark):
+    """A passage that every text has: no task gets much more than its share."""
+    n = 20_000
+    p = text(random.Random(13), 55)
+    df = spark.range(n).selectExpr("id as doc_id", f"concat_ws(' ', sha2(cast(id as string), 256), '{p}', md5(cast(id as string))) as text").repartition(8)
+    got = find_repeats(df, hot=1000)
+    assert got.count() == n
+    assert got.filter("ref_doc_id = 0 or (doc_id = 0 and ref_doc_id = 1)").count() == n
