@@ -29,80 +29,78 @@ def meaningful(text: Column) -> Column:
     return F.coalesce((t != "") & ~F.lower(t).isin(*MISSING_WORDS), F.lit(False))
 
 
-def _group(t: Column, pattern: str, n: int) -> Column:
-    return F.regexp_extract(t, pattern, n)
-
-
-def _int(c: Column) -> Column:
+#: What parts of a match are set apart by; a text's own ones are taken for another control character.
+_MARK, _OTHER = "\u0001", "\u0002"
+#: One alternation of all shapes; at most one can match a text. Groups: 1-4 year first, 5-7 compact, 8-11 ambiguous, 12-14 day and
+#: month name, 15-17 month name and day, 18 what follows.
+_SHAPE = (
+    r"(?s)^\s*(?:(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{4})(\d{2})(\d{2})(?=$|[T\s])|(\d{1,2})([-/.])(\d{1,2})\9(\d{4})"
+    rf"|(\d{{1,2}})(?:-|\s*)({_MONTH})(?:-|\s*)(\d{{1,4}})|({_MONTH})\s*(\d{{1,2}}),\s*(\d{{1,4}}))(.*)$"
+)
+_SHAPE_PARTS = ("$1", "$5", "$3$6", "$4$7", "$8", "$10", "$11", "$12$16", "$13$15", "$14$17", "$18")
+_TIME = r"(?s)^(T|\s*)(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d*)?))?(.*)$"
+_TIME_PARTS = ("$1", "$2", "$3", "$4", "$5")
+
+
+def split_match(t: Column, pattern: str, parts: tuple[str, ...]) -> Column:
+    """Array of ``parts`` of the text's one match, all from one run of the pattern; an array of the text alone without a match."""
+    marked = F.regexp_replace(F.translate(t, _MARK, _OTHER), F.lit(pattern), F.lit(_MARK.join(parts)))
+    return F.split(marked, _MARK, len(parts))
+
+
+def int_part(parts: Column, n: int) -> Column:
+    c = F.get(parts, F.lit(n))
     return F.when(c != "", c.try_cast("int"))
 
 
-def _parts(t: Column, pattern: str, y: int, m: int, d: int, rest: int, names: bool = False) -> tuple[Column, Column, Column, Column]:
-    month = _group(t, pattern, m)
-    if names:
-        spot = F.array_position(F.array(*[F.lit(x[:3]) for x in _MONTHS]), F.lower(F.substring(month, 1, 3)))
-        month = F.when(spot > 0, spot.cast("int"))
-    else:
-        month = _int(month)
-    return _int(_group(t, pattern, y)), month, _int(_group(t, pattern, d)), _group(t, pattern, rest)
+def month_number(name: Column) -> Column:
+    spot = F.array_position(F.array(*[F.lit(x[:3]) for x in _MONTHS]), F.lower(F.substring(name, 1, 3)))
+    return F.when(spot > 0, spot.cast("int"))
 
 
-def _make(y: Column, m: Column, d: Column, h: Column, mi: Column, s: Column) -> Column:
-    return F.try_make_timestamp(y, m, d, h, mi, s)
-
-
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often it is used."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _first(tries: Column) -> Column:
-    return F.get(F.filter(tries, lambda x: x.isNotNull()), F.lit(0))
-
-
-def _shapes(t: Column, day_first: bool) -> Column:
-    """Array of (y, m, d, rest, iso, compact), null where a text hasn't the shape."""
-    lead = r"(?s)^\s*"
-    either = lead + r"(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(.*)$"
-    mdy, dmy = (either, 4, 1, 3, 5), (either, 4, 3, 1, 5)
-    forms = [
-        (lead + r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(.*)$", 1, 3, 4, 5),
-        (lead + r"(\d{4})(\d{2})(\d{2})(?=$|[T\s])(.*)$", 1, 2, 3, 4),
-        *((dmy, mdy) if day_first else (mdy, dmy)),
-        (lead + rf"(\d{{1,2}})(?:-|\s*)({_MONTH})(?:-|\s*)(\d{{1,4}})(.*)$", 3, 2, 1, 4),
-        (lead + rf"({_MONTH})\s*(\d{{1,2}}),\s*(\d{{1,4}})(.*)$", 3, 1, 2, 4),
-    ]
-    out = []
-    for i, (pattern, *groups) in enumerate(forms):
-        y, m, d, rest = _parts(t, pattern, *groups, names=i >= 4)
-        out.append(F.struct(y.alias("y"), m.alias("m"), d.alias("d"), rest.alias("rest"), F.lit(i < 2).alias("iso"), F.lit(i == 1).alias("compact")))
-    return F.filter(F.array(*out), lambda s: s["y"].isNotNull())
+def _make(y: Column, m: Column, d: Column, h: Column, mi: Column, s: Column) -> Column:
+    return F.try_make_timestamp(y, m, d, h, mi, s)
 
 
-def _timed(s: Column, gap: str, seconds: bool, honor_ampm: bool) -> Column:
-    zero = F.lit(0)
-    p = rf"(?s)^{gap}(\d{{1,2}}):(\d{{1,2}})" + (r":(\d{1,2}(?:\.\d*)?)(.*)$" if seconds else "(.*)$")
-    h, mi = _int(_group(s["rest"], p, 1)), _int(_group(s["rest"], p, 2))
-    sec = _group(s["rest"], p, 3).try_cast("decimal(16,6)") if seconds else zero.cast("decimal(16,6)")
+def _read(f: Column, w: Column, day_first: bool, honor_ampm: bool) -> Column:
+    """Timestamp from the parts of the shape and of the time behind it: with seconds, with minutes, as a date alone; of
+    ambiguous ones either reading is tried before the next of these."""
+    zero, none = F.lit(0), F.lit(0).cast("decimal(16,6)")
+    one, two, year = int_part(f, 4), int_part(f, 5), int_part(f, 6)
+    if day_first:
+        one, two = two, one
+    y = F.coalesce(int_part(f, 0), int_part(f, 1), year, int_part(f, 9))
+    m = F.coalesce(int_part(f, 2), one, month_number(F.get(f, F.lit(8))))
+    d = F.coalesce(int_part(f, 3), two, int_part(f, 7))
+    compact, rest = F.get(f, F.lit(1)) != "", F.get(f, F.lit(10))
+    iso = compact | (F.get(f, F.lit(0)) != "")
+    h, mi = int_part(w, 1), int_part(w, 2)
+    usable = (h < 24) & (iso | (F.get(w, F.lit(0)) != "T"))
+    second = F.get(w, F.lit(3)).try_cast("decimal(16,6)")
+    at = h
     if honor_ampm:
-        tail = F.lower(_group(s["rest"], p, 4 if seconds else 3))
-        h = F.when(tail.rlike(r"^\s*pm") & (h < 12), h + 12).when(tail.rlike(r"^\s*am") & (h == 12), zero).otherwise(h)
-    at = F.when(h < 24, _make(s["y"], s["m"], s["d"], h, mi, sec))
-    return F.when(s["iso"], at) if gap == "T" else at
+        tail = F.lower(F.get(w, F.lit(4)))
+        at = F.when(tail.rlike(r"^\s*pm") & (h < 12), h + 12).when(tail.rlike(r"^\s*am") & (h == 12), zero).otherwise(h)
+    by_minute = F.when(F.get(w, F.lit(3)) == "", at).otherwise(h)  # AM and PM are read right behind what is used
+    usable_at = (F.when(at < 24, True)) & usable if honor_ampm else usable
+    tries = []
+    for ok, hour, sec in ((usable_at & second.isNotNull(), at, second), (usable, by_minute, none), (~compact | (rest == ""), zero, none)):
+        minute = zero if hour is zero else mi
+        tries += [F.when(ok, _make(y, m, d, hour, minute, sec)), F.when(ok & year.isNotNull(), _make(year, two, one, hour, minute, sec))]
+    return F.coalesce(*tries)
 
 
 def local_from_text(text: Column, *, day_first: bool = False, honor_ampm: bool = False) -> Column:
     """Wall-clock timestamp (in UTC) of text, without the numeric shapes."""
-    zero = F.lit(0)
-
-    def read(shapes: Column) -> Column:
-        timed = lambda gap, seconds: F.transform(shapes, lambda s: _timed(s, gap, seconds, honor_ampm))
-        tries = [_first(timed(gap, seconds)) for gap in (r"\s*", "T") for seconds in (True, False)]
-        bare = F.transform(shapes, lambda s: F.when(~s["compact"] | (s["rest"] == ""), _make(s["y"], s["m"], s["d"], zero, zero, zero.cast("decimal(16,6)"))))
-        return F.coalesce(*tries, _first(bare))
-
     t = F.btrim(F.regexp_replace(F.regexp_replace(F.btrim(text), "Z$", ""), "([+-][0-9]{2}:?[0-9]{2})$", ""))
-    return F.when(meaningful(text), _let(t, lambda t: _let(_shapes(t, day_first), read)))
+    timed = lambda f: let(split_match(F.get(f, F.lit(10)), _TIME, _TIME_PARTS), lambda w: _read(f, w, day_first, honor_ampm))
+    parsed = let(split_match(t, _SHAPE, _SHAPE_PARTS), lambda f: F.when(F.size(f) > 1, timed(f)))
+    return F.when(meaningful(text), parsed)
 
 
 def _compact(digits: Column) -> Column:
@@ -156,7 +154,7 @@ def to_datetime(x: Column, kind: T.DataType, *, day_first: bool = False, numeric
         return _numeric(x, numeric_origin, tz)
     t = F.btrim(x)
     number = F.when(meaningful(x) & t.rlike(r"^[+-]?[0-9]+([.][0-9]+)?$"), t.try_cast("double"))
-    return F.coalesce(utc(local_from_text(x, day_first=day_first, honor_ampm=honor_ampm)), _let(number, lambda n: _numeric(n, numeric_origin, tz)))
+    return F.coalesce(utc(local_from_text(x, day_first=day_first, honor_ampm=honor_ampm)), let(number, lambda n: _numeric(n, numeric_origin, tz)))
 
 
 def to_date(x: Column, kind: T.DataType, *, day_first: bool = False, numeric_origin: str = "auto", tz: str = "UTC") -> Column:

@@ -6,9 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import dates
 from .translit import ascii_column
 
 INVALID = "Invalid SID"
+#: One alternation of all forms; no text has two of them. Only month before day is tried before day before month.
+_FORMS = (
+    r"(?s)^(?:(\d{4})-(\d{1,2})-(\d{1,2})|(\d{4})/(\d{1,2})/(\d{1,2})|(\d{4})(\d{2})(\d{2})|(\d{1,2})/(\d{1,2})/(\d{4})"
+    r"|(\d{1,2})-([A-Za-z]{3,9})-(\d{4})|([A-Za-z]{3,9}) (\d{1,2}), (\d{4})).*$"
+)
+_PARTS = ("$1$4$7", "$2$5$8", "$3$6$9", "$10", "$11", "$12", "$13$17", "$14$16", "$15$18")
 
 
 def birth_digits(dob: Column, kind: T.DataType) -> Column:
@@ -18,25 +25,15 @@ def birth_digits(dob: Column, kind: T.DataType) -> Column:
     t = F.btrim(dob.cast("string"))
     t = F.regexp_replace(t, r"\.0$", "") if isinstance(kind, T.NumericType) else t
 
-    def made(pattern: str, y: int, m: int, d: int) -> Column:
-        part = lambda n: F.regexp_extract(t, pattern, n)
-        number = lambda n: F.when(part(n) != "", part(n).try_cast("int"))
-        month = number(m)
-        if "a-z" in pattern:
-            spot = F.array_position(F.array(*[F.lit(x) for x in "jan feb mar apr may jun jul aug sep oct nov dec".split()]), F.lower(F.substring(part(m), 1, 3)))
-            month = F.when(spot > 0, spot.cast("int"))
-        return F.try_make_timestamp(number(y), month, number(d), F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)")).cast("date")
-
-    forms = [
-        made(r"^(\d{4})-(\d{1,2})-(\d{1,2})", 1, 2, 3),
-        made(r"^(\d{1,2})/(\d{1,2})/(\d{4})", 3, 1, 2),
-        made(r"^(\d{1,2})/(\d{1,2})/(\d{4})", 3, 2, 1),
-        made(r"^(\d{4})/(\d{1,2})/(\d{1,2})", 1, 2, 3),
-        made(r"^(\d{4})(\d{2})(\d{2})", 1, 2, 3),
-        made(r"^(\d{1,2})-([A-Za-z]{3,9})-(\d{4})", 3, 2, 1),
-        made(r"^([A-Za-z]{3,9}) (\d{1,2}), (\d{4})", 3, 1, 2),
-    ]
-    return F.date_format(F.coalesce(*forms), "yyyyMMdd")
+    def read(f: Column) -> Column:
+        one, two, year = dates.int_part(f, 3), dates.int_part(f, 4), dates.int_part(f, 5)
+        y = F.coalesce(dates.int_part(f, 0), year, dates.int_part(f, 8))
+        m = F.coalesce(dates.int_part(f, 1), one, dates.month_number(F.get(f, F.lit(7))))
+        d = F.coalesce(dates.int_part(f, 2), two, dates.int_part(f, 6))
+        make = lambda y, m, d: F.try_make_timestamp(y, m, d, F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)")).cast("date")
+        return F.coalesce(make(y, m, d), F.when(year.isNotNull(), make(year, two, one)))
+
+    return F.date_format(dates.let(dates.split_match(t, _FORMS, _PARTS), lambda f: F.when(F.size(f) > 1, read(f))), "yyyyMMdd")
 
 
 def linkage_id(first_name: Column, last_name: Column, dob: Column, gender: Column, *, dob_type: T.DataType, strip_accents: bool = False) -> Column:

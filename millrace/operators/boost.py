@@ -39,14 +39,15 @@ def _numeric_shape(x: Column, kind: str, origin: str) -> Column:
 
 
 def detect_dates(df: DataFrame, *, day_first: bool = False, numeric_origin: str = "auto", tz: str = "UTC", min_success: float = 0.8) -> dict[str, str]:
-    """column: "date" or "timestamp", for the columns to convert. One aggregation row over all candidate columns."""
+    """column: "date" or "timestamp", for the columns to convert. One aggregation tells the columns whose values have a date's
+    shape, a second one, over these alone, how many of them parse."""
     checks.frame(df, "data")
     if isinstance(min_success, bool) or not isinstance(min_success, (int, float)) or not 0 < min_success <= 1:
         raise ValueError("`min_success` must be one number greater than 0 and at most 1.")
     checks.flag(day_first, "day_first")
     checks.choice(numeric_origin, "numeric_origin", dates.ORIGINS)
     aggs: list[Column] = []
-    found: list[tuple[str, str, bool]] = []
+    found: list[tuple[str, str, bool, Column]] = []
     rate = lambda ok, used: F.avg(F.when(used, F.coalesce(ok, F.lit(False)).cast("int")))
     for i, f in enumerate(df.schema.fields):
         kind, c = name_type(f.name), checks.q(f.name)
@@ -64,18 +65,22 @@ def detect_dates(df: DataFrame, *, day_first: bool = False, numeric_origin: str
             timed = F.lit(False)
         else:
             continue
-        found.append((f.name, kind, isinstance(f.dataType, T.StringType)))
-        k = len(found) - 1
+        k = len(found)
         parsed = dates.to_datetime(c, f.dataType, **how).isNotNull()
-        aggs += [rate(shape, used).alias(f"shape{k}"), timed.alias(f"timed{k}"), rate(parsed, used).alias(f"parsed{k}")]
+        found.append((f.name, kind, isinstance(f.dataType, T.StringType), rate(parsed, used).alias(f"parsed{k}")))
+        aggs += [rate(shape, used).alias(f"shape{k}"), timed.alias(f"timed{k}")]
     if not aggs:
         return {}
     row = df.agg(*aggs).first()
+    likely = [k for k in range(len(found)) if row[f"shape{k}"] is not None and row[f"shape{k}"] >= min_success]
+    if not likely:
+        return {}
+    rates = df.agg(*[found[k][3] for k in likely]).first()
     out = {}
-    for k, (name, kind, text) in enumerate(found):
-        if row[f"shape{k}"] is None or row[f"shape{k}"] < min_success or row[f"parsed{k}"] < min_success:
-            continue
-        out[name] = "timestamp" if kind == "timestamp" or (text and row[f"timed{k}"]) else "date"
+    for k in likely:
+        name, kind, text, _ = found[k]
+        if rates[f"parsed{k}"] >= min_success:
+            out[name] = "timestamp" if kind == "timestamp" or (text and row[f"timed{k}"]) else "date"
     return out
 
 
