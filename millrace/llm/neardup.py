@@ -106,7 +106,8 @@ def near_pairs(
     stay together that long are mostly copies, for which this is near linear. A node of more than ``block`` texts is never
     held in one task: it is compared in parts of about that size, each with some texts of all parts among it, and then the
     texts outside the node's main component so far meet every part, block by block. Texts with equal tokens enter as one.
-    Texts are told apart by 64-bit hashes of key and text together with the key.
+    Texts are told apart by 64-bit hashes of key and text together with the key. Sides of joins that grow with the corpus are
+    never broadcast, so plans are the same at every size.
     """
     spark = docs.sparkSession
     rate = 1 / (threshold * TOKENS)
@@ -135,7 +136,7 @@ def near_pairs(
     same = sketches.filter("sig is not null").select("id", F.md5("sig").alias("m"))
     heads = same.groupBy("m").agg(F.min("id").alias("id"))
     equal = same.join(heads.withColumnRenamed("id", "other"), "m").filter("id != other").select("id", "other")
-    kept = sketches.filter("sig is not null").join(heads.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    kept = sketches.filter("sig is not null").join(heads.select("id").hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     kept = written(kept.select("id", "sig", "nodes"), "kept")
     sigs = kept.select("id", "sig")
 
@@ -155,7 +156,7 @@ def near_pairs(
     level, here = 1, kept.select(F.explode("nodes").alias("node"), "id")
     while True:
         sizes = here.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")  # no node is held in a task
-        made, here = here, written(here.join(sizes, "node"), f"level{level}")
+        made, here = here, written(here.join(sizes.hint("merge"), "node"), f"level{level}")
         if level > 1:
             discard(made)
         large = here.filter(F.col("n") > leaf)
@@ -203,7 +204,7 @@ def near_pairs(
             yield pairs(*[np.concatenate(x) for x in zip(*held)])
 
     def compared(nodes: DataFrame) -> DataFrame:
-        members = nodes.select("node", "id").join(sigs, "id").select("node", "id", "sig")
+        members = nodes.select("node", "id").join(sigs.hint("merge"), "id").select("node", "id", "sig")
         return members.repartition("node").sortWithinPartitions("node", "id").mapInArrow(compare, "id long, other long").distinct()
 
     big = nodes.filter(F.col("n") > block)
