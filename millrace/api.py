@@ -15,7 +15,7 @@ from .operators.crosstab import cross_table, crosstab_long
 from .operators.routing import google_travel, travel
 from .operators.summary import category_levels, category_summary, continuous_stats, continuous_summary
 from .operators.typing import data_type_table, data_types
-from .operators.uniqueness import check_unique, count_unique_categories, get_duplicates
+from .operators.uniqueness import check_unique, count_unique_categories, duplicate_values, get_duplicates
 from .plans.engine import check_engine, require_modules, setup_engine
 from .sources.importing import read_csv, read_tables, read_xlsx
 from .sources.store import load_table, save_table

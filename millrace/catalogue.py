@@ -194,7 +194,7 @@ def balance_categorical(spark, sf_dir):
 # uniqueness and duplicates
 
 
-@query("SELECT 'l_orderkey' AS var, (SELECT count(*) FROM lineitem) AS n_rows, 0::BIGINT AS n_missing, count(*) AS n_unique, bool_and(n = 1) AS is_unique, list(k ORDER BY k) FILTER (n > 1) AS duplicates FROM (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)")
+@query("SELECT 'l_orderkey' AS var, (SELECT count(*) FROM lineitem) AS n_rows, 0::BIGINT AS n_missing, count(*) AS n_unique, bool_and(n = 1) AS is_unique, count(*) FILTER (n > 1) AS n_duplicates, list(k ORDER BY k) FILTER (n > 1) AS duplicates FROM (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)")
 def check_unique(spark, sf_dir):
     return uniqueness.check_unique(_table(spark, sf_dir, "lineitem"), "l_orderkey")
 

@@ -7,15 +7,19 @@ texts pass an Arrow batch at a time through compiled patterns. Everything that a
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.engine import EngineConfig, Finder
 from . import checks, known_names
 from .gazetteers import Gazetteer, Municipalities, bundled
 
@@ -210,8 +214,50 @@ class Engine:
         return int(first or (apply_rules and self._screen(text, [self.patterns["last_first"], self.workflow])))
 
 
-def _mapped(df: DataFrame, text: str, rules: Rules | None, name: str, kind: str, call) -> DataFrame:
-    """``df`` with a column made from ``text`` by the engine, batch by batch, equal texts of a batch once."""
+    def model_spans(self, text: str, spans: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+        """A model's spans but those of no person."""
+        return [s for s in spans if not self.nobody(text, *s)]
+
+    def mask_found(self, text: str, spans: Sequence[tuple[int, int]], replacement: str, apply_rules: bool) -> str:
+        out = self._put(text, self.model_spans(text, spans), replacement)
+        return self.rules_mask(out, replacement) if apply_rules else out
+
+    def flag_found(self, text: str, spans: Sequence[tuple[int, int]], apply_rules: bool) -> int:
+        return int(bool(self.model_spans(text, spans)) or (apply_rules and self._screen(text, [self.patterns["last_first"], self.workflow])))
+
+    def detect_found(self, text: str, spans: Sequence[tuple[int, int]], sensitivity: str) -> list[tuple[int, int, str, str]]:
+        """A model's names, and those of the rules that hold a comma; of overlapping ones the first, then the longest."""
+        both = [(s, e, text[s:e], "model_person") for s, e in self.model_spans(text, spans)] + [x for x in self.detect(text, sensitivity) if "," in x[2]]
+        kept: list[tuple[int, int, str, str]] = []
+        for x in sorted(both, key=lambda x: (x[0], -x[1])):
+            if not kept or x[0] >= kept[-1][1]:
+                kept.append(x)
+        return kept
+
+
+@lru_cache(maxsize=4)
+def _engine_of(key: bytes) -> Engine:
+    """A worker's engine: its patterns are compiled once and kept between tasks."""
+    return pickle.loads(key).engine()
+
+
+@lru_cache(maxsize=2)
+def _finder_of(key: bytes) -> Finder:
+    return cloudpickle.loads(key)()
+
+
+def _finding(engine: EngineConfig | None, batch_size: int) -> Callable[[list[str]], list] | None:
+    """For tasks: a model's spans of some texts; None where the rules find names."""
+    checks.whole(batch_size, "batch_size", 1)
+    if engine is None or engine.load is None:
+        return None
+    load = cloudpickle.dumps(engine.load)
+    return lambda texts: _finder_of(load)(texts, batch_size)
+
+
+def _mapped(df: DataFrame, text: str, rules: Rules | None, name: str, kind: str, call, found=None, finding=None) -> DataFrame:
+    """``df`` with a column made from ``text`` by the engine, batch by batch, equal texts of a batch once. With ``finding`` a
+    model's spans of the texts that aren't blank go to ``found``."""
     checks.frame(df, "data")
     checks.column(df, text, "text")
     if not isinstance(df.schema[text].dataType, T.StringType):
@@ -224,10 +270,15 @@ def _mapped(df: DataFrame, text: str, rules: Rules | None, name: str, kind: str,
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(name, T._parse_datatype_string(kind))])
     type_ = pa.string() if kind == "string" else pa.int32()
 
+    key = pickle.dumps(rules)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine = rules.engine()
+        engine = _engine_of(key)
         for b in batches:
             done: dict = {}
+            if finding:
+                texts = [t for t in dict.fromkeys(b.column(at).to_pylist()) if t and t.strip()]
+                done = {t: found(engine, t, spans) for t, spans in zip(texts, finding(texts))}
             values = [done[t] if t in done else done.setdefault(t, call(engine, t)) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(values, type_)], names=[*kept, name])
 
@@ -241,22 +292,35 @@ def _options(sensitivity: str, apply_rules: bool, replacement: str = "") -> None
         raise ValueError("`replacement` must be one non-missing character value.")
 
 
-def mask_person_names(df: DataFrame, text: str, *, replacement: str = "[NAME]", sensitivity: str = "high_recall", apply_rules: bool = True, name_columns: Sequence[str] | None = None, rules: Rules | None = None, output: str = "masked_text") -> DataFrame:
-    """``df`` with ``output``: names replaced. Names of the row's ``name_columns`` go first, whatever the registers say."""
+def mask_person_names(df: DataFrame, text: str, *, replacement: str = "[NAME]", sensitivity: str = "high_recall", apply_rules: bool = True, name_columns: Sequence[str] | None = None, rules: Rules | None = None, output: str = "masked_text", engine: EngineConfig | None = None, batch_size: int = 100, keep_original: bool = True) -> DataFrame:
+    """``df`` with ``output``: names replaced. Names of the row's ``name_columns`` go first, whatever the registers say.
+
+    ``engine`` (see ``setup_engine``) with a model takes names from it, ``batch_size`` texts at once, and from the rules' supplementary
+    passes; without one the rules find them. Without ``keep_original`` the masked text takes the place of ``text``.
+    """
     _options(sensitivity, apply_rules, replacement)
+    if not checks.flag(keep_original, "keep_original"):
+        out = mask_person_names(df, text, replacement=replacement, sensitivity=sensitivity, apply_rules=apply_rules, name_columns=name_columns, rules=rules, output=output, engine=engine, batch_size=batch_size)
+        return out.select(*[checks.q(output).alias(c) if c == text else checks.q(c) for c in df.columns if c != output or c == text])
+    finding = _finding(engine, batch_size)
+    call, found = lambda e, t: e.mask(t, replacement, sensitivity, apply_rules), lambda e, t, s: e.mask_found(t, s, replacement, apply_rules)
     source, read = df, text
     if name_columns:
         names = known_names._checked(df, text, name_columns)
         source, read = df.withColumn(output, known_names.exact_mask(checks.q(text), names, replacement)), output
-        kept = source.withColumnRenamed(output, "__known")
-        return _mapped(kept, "__known", rules, output, "string", lambda e, t: e.mask(t, replacement, sensitivity, apply_rules)).drop("__known")
-    return _mapped(source, read, rules, output, "string", lambda e, t: e.mask(t, replacement, sensitivity, apply_rules))
+        known = "__known"
+        while known in df.columns:
+            known += "_"
+        kept = source.withColumnRenamed(output, known)
+        return _mapped(kept, known, rules, output, "string", call, found, finding).drop(known)
+    return _mapped(source, read, rules, output, "string", call, found, finding)
 
 
-def flag_person_names(df: DataFrame, text: str, *, sensitivity: str = "high_recall", apply_rules: bool = True, name_columns: Sequence[str] | None = None, rules: Rules | None = None, output: str = "name_flag") -> DataFrame:
-    """``df`` with ``output``: 1 where the text names a person, else 0. It screens by its own algorithm, not by masking."""
+def flag_person_names(df: DataFrame, text: str, *, sensitivity: str = "high_recall", apply_rules: bool = True, name_columns: Sequence[str] | None = None, rules: Rules | None = None, output: str = "name_flag", engine: EngineConfig | None = None, batch_size: int = 100) -> DataFrame:
+    """``df`` with ``output``: 1 where the text names a person, else 0. It screens by its own algorithm, not by masking.
+    ``engine`` and ``batch_size`` as for masking."""
     _options(sensitivity, apply_rules)
-    out = _mapped(df, text, rules, output, "int", lambda e, t: e.flag(t, sensitivity, apply_rules))
+    out = _mapped(df, text, rules, output, "int", lambda e, t: e.flag(t, sensitivity, apply_rules), lambda e, t, s: e.flag_found(t, s, apply_rules), _finding(engine, batch_size))
     if name_columns:
         out = out.withColumn(output, F.greatest(output, known_names.exact_flag(checks.q(text), known_names._checked(df, text, name_columns))))
     return out
@@ -268,9 +332,9 @@ def apply_name_rules(df: DataFrame, text: str, *, replacement: str = "[NAME]", r
     return _mapped(df, text, rules, output, "string", lambda e, t: e.rules_mask(t, replacement))
 
 
-def detect_person_names(df: DataFrame, text: str, row_id: str, *, sensitivity: str = "high_recall", explain: bool = False, rules: Rules | None = None) -> DataFrame:
+def detect_person_names(df: DataFrame, text: str, row_id: str, *, sensitivity: str = "high_recall", explain: bool = False, rules: Rules | None = None, engine: EngineConfig | None = None, batch_size: int = 100) -> DataFrame:
     """(row_id, detected_name, start, end): a row for each name, places from 1, the end inclusive; with ``explain`` also
-    rule and confidence."""
+    rule and confidence. With a model in ``engine`` its names, and the rules' that hold a comma."""
     _options(sensitivity, True)
     checks.column(df, text, "text")
     checks.column(df, row_id, "row_id")
@@ -278,14 +342,19 @@ def detect_person_names(df: DataFrame, text: str, row_id: str, *, sensitivity: s
     kind = df.schema[row_id].dataType
     fields = [T.StructField("row_id", kind), T.StructField("detected_name", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("rule", T.StringType()), T.StructField("confidence", T.StringType())]
 
+    key, finding = pickle.dumps(rules), _finding(engine, batch_size)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine = rules.engine()
+        by_rules = _engine_of(key)
         for b in batches:
             at, rows = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                for start, end, name, rule in engine.detect(t, sensitivity):
+            texts = b.column(1).to_pylist()
+            some = [t for t in dict.fromkeys(texts) if t and t.strip()] if finding else []
+            spans = dict(zip(some, finding(some))) if finding else {}
+            for i, t in enumerate(texts):
+                for start, end, name, rule in by_rules.detect_found(t, spans[t], sensitivity) if t in spans else [] if finding else by_rules.detect(t, sensitivity):
                     at.append(i)
-                    rows.append((name, start + 1, end, rule, CONFIDENCE[rule]))
+                    rows.append((name, start + 1, end, rule, CONFIDENCE.get(rule, "model")))
             cols = list(zip(*rows)) if rows else [()] * 5
             types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, types)]], names=[f.name for f in fields])

@@ -31,8 +31,8 @@ def compare_balance(
     Otherwise categorical: proportions among non-missing values, weighted on request, for all levels of ``levels`` or of
     either side in the alphabet; logical variables have FALSE and TRUE. A variable that one side lacks counts as logical and
     missing there, so it is categorical and has FALSE and TRUE among its levels. smd is the difference over the root
-    of the mean variance. ``digits=None`` leaves numbers unrounded. All continuous variables share one
-    pass a side; each categorical one is one aggregation by level.
+    of the mean variance. ``digits=None`` leaves numbers unrounded. A side is read once for all continuous
+    variables (twice with weights) and once for all categorical ones.
     """
     checks.frame(df1, "df1")
     checks.frame(df2, "df2")
@@ -46,10 +46,13 @@ def compare_balance(
             raise ValueError(f"`{name}` must name a numeric column.")
     sides = ((df1, weights1), (df2, weights2))
     numeric = lambda df, v: v in df.columns and checks.is_numeric(df.schema[v].dataType)
-    parts = [_continuous(sides, v, i) if numeric(df1, v) and numeric(df2, v) else _categorical(sides, v, i, (levels or {}).get(v)) for i, v in enumerate(variables)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    both = [(i, v) for i, v in enumerate(variables) if numeric(df1, v) and numeric(df2, v)]
+    rest = [(i, v) for i, v in enumerate(variables) if (i, v) not in both]
+    parts = ([_continuous(sides, both)] if both else []) + ([_categorical(sides, rest, levels or {})] if rest else [])
+    pct = lambda k: F.when(F.col(f"rows{k}") > 0, 100 * F.col(f"miss_n{k}") / F.col(f"rows{k}"))
+    shared = {"variable": F.get(F.array(*[F.lit(v) for v in variables]), F.col("at")), "miss_pct1": pct(1), "miss_pct2": pct(2)}
+    parts = [p.withColumns(shared).select("at", "level_at", *COLUMNS) for p in parts]
+    out = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
     if digits is not None:
         checks.whole(digits, "digits")
         out = out.withColumns({f.name: F.bround(f.name, digits) for f in out.schema.fields if isinstance(f.dataType, T.DoubleType)})
@@ -60,55 +63,63 @@ def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
-def _side(df: DataFrame, v: str, w: str | None, k: int) -> DataFrame:
-    x = checks.present(df, v).cast("double")
-    weight = checks.q(w).cast("double") if w else F.lit(1.0)
-    d = df.select(x.alias("x"), weight.alias("w"))
-    base = [F.count(F.lit(1)).alias(f"rows{k}"), F.count_if(F.col("x").isNull()).alias(f"miss_n{k}"), F.count_if(_finite(F.col("x"))).alias(f"n{k}")]
-    if w is None:
-        return d.agg(*base, F.avg("x").alias(f"mean{k}"), F.stddev_samp("x").alias(f"sd{k}"))
-    d = d.withColumn("ok", _finite(F.col("x")) & _finite(F.col("w"))).withColumns({"wx": F.when(F.col("ok"), F.col("w") * F.col("x")), "ww": F.when(F.col("ok"), F.col("w"))})
-    mu = d.agg((F.sum("wx") / F.nullif(F.sum("ww"), F.lit(0.0))).alias("mu"))  # one row: the second pass is stable
-    d = d.crossJoin(F.broadcast(mu)).withColumn("sq", F.col("ww") * F.pow(F.col("x") - F.col("mu"), 2))
-    return d.agg(*base, F.first("mu").alias(f"mean{k}"), F.sqrt(F.sum("sq") / F.nullif(F.sum("ww"), F.lit(0.0))).alias(f"sd{k}"))
-
-
-def _rest(out: DataFrame, v: str, kind: str, at: int) -> DataFrame:
-    """Columns that both kinds share, made from what the sides gave."""
-    pct = lambda k: F.when(F.col(f"rows{k}") > 0, 100 * F.col(f"miss_n{k}") / F.col(f"rows{k}"))
-    out = out.withColumns({"variable": F.lit(v), "type": F.lit(kind), "at": F.lit(at), "miss_pct1": pct(1), "miss_pct2": pct(2)})
-    return out.select("at", "level_at", *COLUMNS)
-
-
-def _continuous(sides, v: str, at: int) -> DataFrame:
-    a, b = (_side(df, v, w, k) for k, (df, w) in enumerate(sides, 1))
-    both = a.crossJoin(b)
+def _inline(df: DataFrame, rows: list[Column]) -> DataFrame:
+    return df.select(F.inline(F.array(*rows)))
+
+
+def _side(df: DataFrame, named: list[tuple[int, str]], w: str | None, k: int) -> DataFrame:
+    """A row for each variable from one aggregation over all of them; with weights their means are one more before it."""
+    xs = [checks.present(df, v).cast("double").alias(f"x{i}") for i, v in named]
+    d = df.select(*xs, *([checks.q(w).cast("double").alias("w")] if w else []))
+    x = lambda i: F.col(f"x{i}")
+    if w:
+        ok = lambda i: _finite(x(i)) & _finite(F.col("w"))
+        total = lambda i, c: F.sum(F.when(ok(i), c)) / F.nullif(F.sum(F.when(ok(i), F.col("w"))), F.lit(0.0))
+        means = d.agg(*[total(i, F.col("w") * x(i)).alias(f"mu{i}") for i, _ in named])  # one row: the second pass is stable
+        d = d.crossJoin(F.broadcast(means))
+    aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
+    for i, _ in named:
+        mean, sd = F.avg(x(i)), F.stddev_samp(x(i))
+        if w:
+            mean, sd = F.first(f"mu{i}"), F.sqrt(total(i, F.col("w") * F.pow(x(i) - F.col(f"mu{i}"), 2)))
+        aggs += [F.count_if(x(i).isNull()).alias(f"miss{i}"), F.count_if(_finite(x(i))).alias(f"n{i}"), mean.alias(f"mean{i}"), sd.alias(f"sd{i}")]
+    row = lambda i: F.struct(F.lit(i).alias("at"), F.col("rows").alias(f"rows{k}"), F.col(f"miss{i}").alias(f"miss_n{k}"), F.col(f"n{i}").alias(f"n{k}"), F.col(f"mean{i}").alias(f"mean{k}"), F.col(f"sd{i}").alias(f"sd{k}"))
+    return _inline(d.agg(*aggs), [row(i) for i, _ in named])
+
+
+def _continuous(sides, named: list[tuple[int, str]]) -> DataFrame:
+    a, b = (_side(df, named, w, k) for k, (df, w) in enumerate(sides, 1))
+    both = a.join(b, "at")
     diff = F.col("mean2") - F.col("mean1")
     pooled = F.sqrt((F.pow("sd1", F.lit(2)) + F.pow("sd2", F.lit(2))) / 2)
-    both = both.withColumns({"diff": diff, "smd": F.when(_finite(pooled) & (pooled > 0), diff / pooled), "level_at": F.lit(0), "level": F.lit(None).cast("string"), "prop1": F.lit(None).cast("double"), "prop2": F.lit(None).cast("double")})
-    return _rest(both, v, "continuous", at)
+    none = F.lit(None).cast("double")
+    return both.withColumns({"type": F.lit("continuous"), "diff": diff, "smd": F.when(_finite(pooled) & (pooled > 0), diff / pooled), "level_at": F.lit(0), "level": F.lit(None).cast("string"), "prop1": none, "prop2": none})
 
 
-def _categorical(sides, v: str, at: int, given: Sequence[str] | None) -> DataFrame:
+def _categorical(sides, named: list[tuple[int, str]], given: dict[str, Sequence[str]]) -> DataFrame:
+    """A row for each level of each variable; all variables of a side are counted by level in one aggregation."""
     spark = sides[0][0].sparkSession
-    tables, totals, logical = [], [], False
+    tables, totals, logical = [], spark.createDataFrame([(i,) for i, _ in named], "at int"), set()
     for k, (df, w) in enumerate(sides, 1):
-        there = v in df.columns
-        logical |= not there or isinstance(df.schema[v].dataType, T.BooleanType)
-        level = checks.as_level(df, v) if there else F.lit(None).cast("string")
+        rows = []
+        for i, v in named:
+            there = v in df.columns
+            if not there or isinstance(df.schema[v].dataType, T.BooleanType):
+                logical.add(i)
+            rows.append(F.struct(F.lit(i).alias("at"), (checks.as_level(df, v) if there else F.lit(None).cast("string")).alias("level")))
         weight = checks.q(w).cast("double") if w else F.lit(1.0)
-        d = df.select(level.alias("level"), F.when(_finite(weight), weight).alias("w"))
-        t = d.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
-        tables.append(t.filter("level is not null").select("level", F.col("w").alias(f"w{k}")))
+        d = df.select(F.when(_finite(weight), weight).alias("w"), F.inline(F.array(*rows)))
+        t = d.groupBy("at", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
         known = F.col("level").isNotNull()
-        totals.append(t.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"rows{k}"), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias(f"n{k}"), F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias(f"miss_n{k}"), F.sum(F.when(known, F.col("w"))).alias(f"all{k}")))
-    listed = list(given or []) + (["FALSE", "TRUE"] if logical else [])
-    fixed = spark.createDataFrame([(x, i) for i, x in enumerate(dict.fromkeys(listed))], "level string, place int")
-    found = tables[0].join(tables[1], "level", "full_outer").join(fixed, "level", "full_outer")
-    found = found.withColumn("level_at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("place").asc_nulls_last(), "level")))
-    sums = totals[0].crossJoin(totals[1])
-    out = sums.join(found, F.lit(True), "left").withColumn("level_at", F.coalesce("level_at", F.lit(0)))
+        tables.append(t.filter(known).select("at", "level", F.col("w").alias(f"w{k}")))
+        total = t.groupBy("at").agg(F.sum("n").alias(f"rows{k}"), F.sum(F.when(known, F.col("n"))).alias(f"n{k}"), F.sum(F.when(~known, F.col("n"))).alias(f"miss_n{k}"), F.sum(F.when(known, F.col("w"))).alias(f"all{k}"))
+        totals = totals.join(total, "at", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in (f"rows{k}", f"n{k}", f"miss_n{k}")})
+    listed = [(i, x, p) for i, v in named for p, x in enumerate(dict.fromkeys([*given.get(v, ()), *(["FALSE", "TRUE"] if i in logical else [])]))]
+    fixed = spark.createDataFrame(listed, "at int, level string, place int")
+    found = tables[0].join(tables[1], ["at", "level"], "full_outer").join(fixed, ["at", "level"], "full_outer")
+    found = found.withColumn("level_at", F.row_number().over(Window.partitionBy("at").orderBy(F.col("place").asc_nulls_last(), "level")))
+    out = totals.join(found, "at", "left").withColumn("level_at", F.coalesce("level_at", F.lit(0)))
     prop = lambda k: F.when(F.col("level").isNotNull() & (F.col(f"all{k}") != 0), F.coalesce(F.col(f"w{k}"), F.lit(0.0)) / F.col(f"all{k}"))
     out = out.withColumns({"prop1": prop(1), "prop2": prop(2)}).withColumn("diff", F.col("prop2") - F.col("prop1"))
     none = F.lit(None).cast("double")
-    return _rest(out.withColumns({"mean1": none, "sd1": none, "mean2": none, "sd2": none, "smd": none}), v, "categorical", at)
+    return out.withColumns({"type": F.lit("categorical"), "mean1": none, "sd1": none, "mean2": none, "sd2": none, "smd": none})

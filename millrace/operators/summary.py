@@ -88,17 +88,22 @@ def category_summary(df: DataFrame, var_name: str, display_name: str | None = No
     return df.sparkSession.createDataFrame([tuple(cells)], T.StructType([T.StructField(n, T.StringType()) for n in names]))
 
 
+#: Distinct values that one task may hold for exact quantiles.
+MAX_HELD = 2_000_000
+
+
 def quantile_labels(probs: Sequence[float]) -> list[str]:
     named = {0.25: "Q1", 0.5: "Q2", 0.75: "Q3"}
     return make_unique([named.get(p) or f"P{p * 100:.12g}" for p in probs])
 
 
-def continuous_stats(df: DataFrame, var_name: str, *, finite_only: bool = True, probs: Sequence[float] = PROBS, distributed: bool = False) -> DataFrame:
+def continuous_stats(df: DataFrame, var_name: str, *, finite_only: bool = True, probs: Sequence[float] = PROBS, distributed: bool | None = None) -> DataFrame:
     """One row of numbers: n, missing, non_missing, non_finite, analyzed, mean, sd, median, min, max, quantiles.
 
     Null and NaN are missing, infinities non-finite; with ``finite_only`` they aren't analysed. sd is the sample's,
-    quantiles interpolate linearly (exact, type 7). One aggregation pass, in which a task holds the distinct values;
-    where they are too many for that, ``distributed`` takes quantiles and median from a range-partitioned sort instead.
+    quantiles interpolate linearly (exact, type 7). With at most about ``MAX_HELD`` distinct values, counted first, one
+    aggregation holds them in a task; with more, quantiles and median come from a range-partitioned sort. ``distributed``
+    True or False chooses without the count; the numbers are the same.
     """
     checks.frame(df)
     checks.column(df, var_name)
@@ -110,13 +115,16 @@ def continuous_stats(df: DataFrame, var_name: str, *, finite_only: bool = True,
     wild = F.abs(v) == float("inf")
     x = F.when(wild, None).otherwise(v) if finite_only else v
     d = df.select(v.alias("v"), x.alias("x"), wild.alias("wild"))
+    if distributed is None:
+        distributed = d.agg(F.approx_count_distinct("x")).first()[0] > MAX_HELD
     if checks.flag(distributed, "distributed"):
         mid, *some = exact_quantiles(d, F.col("x"), [0.5, *[y for y in p if y != 0.5]])
         rest = iter(some)
         listed = [mid if y == 0.5 else next(rest) for y in p]
         median, quantiles = F.lit(mid).cast("double"), F.array(*[F.lit(y).cast("double") for y in listed])
     else:
-        median, quantiles = F.percentile("x", F.lit(0.5)), F.percentile("x", F.array(*[F.lit(y) for y in p]))
+        every = F.percentile("x", F.array(*[F.lit(y) for y in (0.5, *p)]))
+        median, quantiles = F.get(every, F.lit(0)), F.slice(every, 2, len(p))
     return d.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("v").isNull()).alias("missing"),
@@ -132,12 +140,12 @@ def continuous_stats(df: DataFrame, var_name: str, *, finite_only: bool = True,
     )
 
 
-def continuous_summary(df: DataFrame, var_name: str, display_name: str | None = None, *, digits: int = 2, finite_only: bool = True, probs: Sequence[float] = PROBS) -> DataFrame:
+def continuous_summary(df: DataFrame, var_name: str, display_name: str | None = None, *, digits: int = 2, finite_only: bool = True, probs: Sequence[float] = PROBS, distributed: bool | None = None) -> DataFrame:
     """One display row: Variable, Mean_SD, Median, Min_Max, quantiles, Missing, N, NonMissing, MissingPct, NonFinite,
     Analyzed. Where nothing is analysed the texts are null; the sd of one value prints NA."""
     display = checks.label(display_name if display_name is not None else var_name, "display_name")
     checks.whole(digits, "digits")
-    s = continuous_stats(df, var_name, finite_only=finite_only, probs=probs)
+    s = continuous_stats(df, var_name, finite_only=finite_only, probs=probs, distributed=distributed)
     t = lambda c: c_fixed(F.col(c) if isinstance(c, str) else c, digits)
     some = lambda c: F.when(F.col("analyzed") > 0, c)
     labels = quantile_labels(checks.probabilities(probs))

@@ -8,11 +8,22 @@ from pyspark.sql import functions as F
 from ..functions import checks
 
 
-def check_unique(df: DataFrame, var: str, na_rm: bool = False) -> DataFrame:
-    """One row: var, n_rows, n_missing, n_unique, is_unique, duplicates (the repeated values, a null among them).
+def duplicate_values(df: DataFrame, var: str, na_rm: bool = False) -> DataFrame:
+    """(value, n): the values that occur more than once, null as one of them unless ``na_rm``; any number of them."""
+    checks.frame(df, "data")
+    checks.column(df, var, "var")
+    v = checks.present(df, var)
+    counts = df.select(v.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return counts.filter("value is not null") if checks.flag(na_rm, "na_rm") else counts
+
+
+def check_unique(df: DataFrame, var: str, na_rm: bool = False, max_listed: int = 1_000_000) -> DataFrame:
+    """One row: var, n_rows, n_missing, n_unique, is_unique, n_duplicates, duplicates (the repeated values, a null among them).
 
-    Missing counts as a value unless ``na_rm``. One aggregation by value; only repeated values are gathered.
+    Missing counts as a value unless ``na_rm``. One aggregation by value. A cell lists the repeated values only where there
+    are at most ``max_listed``; beyond it is null, and ``duplicate_values`` gives them all as rows.
     """
+    checks.whole(max_listed, "max_listed")
     checks.frame(df, "data")
     checks.column(df, var, "var")
     checks.flag(na_rm, "na_rm")
@@ -24,9 +35,12 @@ def check_unique(df: DataFrame, var: str, na_rm: bool = False) -> DataFrame:
         F.coalesce(F.sum(F.when(gone, F.col("n"))), F.lit(0)).alias("n_missing"),
         F.count_if(used).alias("n_unique"),
         F.coalesce(F.sum(F.when(used, F.col("n"))), F.lit(0)).alias("used"),
-        F.array_sort(F.collect_list(F.when(used & (F.col("n") > 1), F.struct("v")))).alias("d"),
+        F.count_if(used & (F.col("n") > 1)).alias("n_duplicates"),
     )
-    return s.select(F.lit(var).alias("var"), "n_rows", "n_missing", "n_unique", (F.col("n_unique") == F.col("used")).alias("is_unique"), F.transform("d", lambda x: x["v"]).alias("duplicates"))
+    some = duplicate_values(df, var, na_rm).select("value").limit(max_listed)
+    d = some.agg(F.array_sort(F.collect_list(F.struct("value"))).alias("d"))
+    listed = F.when(F.col("n_duplicates") <= max_listed, F.transform("d", lambda x: x["value"]))
+    return s.crossJoin(F.broadcast(d)).select(F.lit(var).alias("var"), "n_rows", "n_missing", "n_unique", (F.col("n_unique") == F.col("used")).alias("is_unique"), "n_duplicates", listed.alias("duplicates"))
 
 
 def count_unique_categories(df: DataFrame, var_name: str, include_missing: bool = False) -> DataFrame:

@@ -27,7 +27,7 @@ def test_csv_folder(spark, tmp_path):
         api.read_csv(spark, str(tmp_path / "ignore.txt"))
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "A0.csv").write_text("x\n1\n")
-    assert [p.rsplit("/", 1)[1] for p in list_files(str(tmp_path), "csv", True)] == ["a.CSV", "A0.csv", "b.csv"]
+    assert [p.rsplit("/", 1)[1] for p in list_files(spark, str(tmp_path), "csv", True)] == ["a.CSV", "A0.csv", "b.csv"]
 
 
 def test_csv_types(spark, tmp_path):
@@ -37,19 +37,87 @@ def test_csv_types(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [("2024-01-05", True, 7, "", 'a,"b'), ("2024-01-06", False, None, "x", "")]
 
 
-def test_xlsx_needs_an_engine(spark, tmp_path, monkeypatch):
-    import pandas as pd
-
-    (tmp_path / "a.xlsx").write_bytes(b"PK")
-
-    def missing(*a, **k):
-        raise ImportError("openpyxl")
-
-    monkeypatch.setattr(pd, "read_excel", missing)
-    with pytest.raises(ImportError, match="spreadsheet engine"):
-        api.read_xlsx(spark, str(tmp_path))
-    monkeypatch.setattr(pd, "read_excel", lambda p, sheet_name: pd.DataFrame({"A b": [sheet_name]}))
-    assert api.read_xlsx(spark, str(tmp_path / "a.xlsx"), sheet=2).first()["A_b"] == 1
+def workbook(path, sheets, shared=("plain", "Given Name"), date1904=False):
+    """A workbook by hand: sheets as {name: xml of rows}."""
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f"<workbook {main}><workbookPr date1904='{int(date1904)}'/><sheets>" + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships xmlns='http://schemas.openxmlformats.org/package/2006/relationships'>" + "".join(f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>" + "".join(f"<si><r><t>{s[:2]}</t></r><r><t>{s[2:]}</t></r></si>" for s in shared) + "</sst>")
+        z.writestr("xl/styles.xml", f"<styleSheet {main}><numFmts><numFmt numFmtId='170' formatCode='yyyy\\-mm\\-dd'/><numFmt numFmtId='171' formatCode='0.0 \"days\"'/></numFmts><cellXfs><xf numFmtId='0'/><xf numFmtId='170'/><xf numFmtId='22'/><xf numFmtId='171'/></cellXfs></styleSheet>")
+        for i, rows in enumerate(sheets.values(), 1):
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>")
+
+
+def test_xlsx_without_an_engine(spark, tmp_path):
+    head = '<row r="1"><c r="A1" t="s"><v>1</v></c><c r="B1" t="inlineStr"><is><t>When/At</t></is></c><c r="C1" t="inlineStr"><is><t>x</t></is></c><c r="D1" t="inlineStr"><is><t>ok</t></is></c><c r="AB1" t="inlineStr"><is><t>far</t></is></c></row>'
+    rows = head + '<row r="2"><c r="A2" t="s"><v>0</v></c><c r="B2" s="1"><v>45296</v></c><c r="C2" s="3"><v>1.5</v></c><c r="D2" t="b"><v>1</v></c><c r="AB2"><v>7</v></c></row><row r="3"><c r="B3" s="2"><v>45296.5</v></c><c r="C3" t="e"><v>#N/A</v></c><c r="AB3" t="str"><v>seven</v></c></row><row r="4"/>'
+    workbook(tmp_path / "a.XLSX", {"first": "<row><c><v>3</v></c></row>", "second": rows})
+    df = api.read_xlsx(spark, str(tmp_path / "a.XLSX"), sheet=2)
+    assert df.columns[:4] == ["Given_Name", "When_At", "x", "ok"] and len(df.columns) == 28 and df.columns[-1] == "far"
+    assert [k for _, k in df.dtypes[:4]] == ["string", "timestamp", "double", "boolean"] and df.dtypes[-1][1] == "string"
+    got = df.selectExpr("Given_Name", "cast(When_At as string)", "x", "ok", "far").collect()
+    assert [tuple(r) for r in got] == [("plain", "2024-01-05 00:00:00", 1.5, True, "7"), (None, "2024-01-05 12:00:00", None, None, "seven")]
+    assert api.read_xlsx(spark, str(tmp_path), sheet="first", prefix="book")["book_001"].columns == ["3"]
+    with pytest.raises(ValueError, match="sheet"):
+        api.read_xlsx(spark, str(tmp_path / "a.XLSX"), sheet="third")
+    with pytest.raises(ValueError):
+        api.read_xlsx(spark, str(tmp_path), sheet=0)
+
+
+def test_csv_from_any_file_system_and_broken_lines(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('a,b\n1,"two\nlines"\n2,x\n')
+    got = api.read_csv(spark, f"file://{tmp_path}")
+    assert [tuple(r) for r in got["imported_data_001"].collect()] == [(1, "two\nlines"), (2, "x")]
+    assert api.read_csv(spark, f"file://{tmp_path}", file_name="m.csv").count() == 2
+    (tmp_path / "m.csv").write_text('a,b\n1,"two ""lines"""\n2,x\n')
+    assert api.read_csv(spark, str(tmp_path / "m.csv")).filter("b = 'two \"lines\"'").count() == 1
+
+
+def test_scratch_folder_goes_after_stop(tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+from millrace.session import build_session
+from millrace.scratch import discard, scratch_root, written
+import os
+s = build_session("x", "local[1]", spark__ui__enabled="false", spark__checkpoint__dir={str(tmp_path)!r})
+a, b = written(s.range(3), "a"), written(s.range(4), "b")
+discard(a)
+assert b.count() == 4 and len(os.listdir(scratch_root(s))) == 1
+s.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=180, cwd=__file__.rsplit("/tests/", 1)[0])
+    assert not list(tmp_path.glob("millrace*"))
+
+
+def test_model_engine(spark):
+    """A model of one's own finds names in batches; rules add their passes."""
+
+    def load():
+        sizes = []
+
+        def find(texts, batch_size):
+            sizes.append(batch_size)
+            return [[(i, i + 5) for i in [t.find("zorba")] if i >= 0 and batch_size == 3] for t in texts]
+
+        return find
+
+    engine = api.setup_engine("regex", load=load)
+    rows = [(1, "then zorba came"), (2, "Smith, John"), (3, None), (4, " "), (5, "Follow Up"), (1, "then zorba came")]
+    df = spark.createDataFrame(rows, "id int, note string")
+    how = {"engine": engine, "batch_size": 3}
+    masked = api.mask_person_names(df, "note", **how)
+    assert [r["masked_text"] for r in masked.collect()] == ["then [NAME] came", "[NAME]", None, " ", "Follow Up", "then [NAME] came"]
+    assert api.mask_person_names(df, "note", keep_original=False, **how).columns == ["id", "note"] and api.mask_person_names(df, "note", keep_original=False, **how).first()["note"] == "then [NAME] came"
+    assert [r["name_flag"] for r in api.flag_person_names(df, "note", **how).collect()] == [1, 1, 0, 0, 0, 1]
+    found = api.detect_person_names(df.limit(5), "note", "id", explain=True, **how).collect()
+    assert [tuple(r) for r in found] == [(1, "zorba", 6, 10, "model_person", "model"), (2, "Smith, John", 1, 11, "last_first", "high")]
+    assert api.mask_person_names(df, "note").filter("masked_text = '[NAME]'").count() == 2
+    assert api.mask_person_names(df.withColumnRenamed("note", "__known"), "__known", name_columns=["__known"]).count() == 6
 
 
 def test_save_and_load(spark, tmp_path):

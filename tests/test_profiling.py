@@ -4,6 +4,7 @@ import pytest
 
 from millrace import api
 from millrace.functions.formatting import make_unique
+from millrace.operators import summary
 
 
 def row(df):
@@ -51,9 +52,12 @@ def test_continuous_summary(spark):
         api.continuous_stats(df, "value", probs=[0.5, 0.5])
 
 
-def test_distributed_quantiles(spark):
+def test_distributed_quantiles(spark, monkeypatch):
     df = spark.range(0, 1003, 1, 7).selectExpr("case when id % 10 = 0 then null else cast((id * 7919) % 500 as double) / 3 end as v")
     a, b = (row(api.continuous_stats(df, "v", distributed=d)) for d in (False, True))
+    monkeypatch.setattr(summary, "MAX_HELD", 100)
+    assert row(api.continuous_stats(df, "v"))["median"] == pytest.approx(b["median"])
+    assert api.continuous_summary(df, "v", distributed=True).collect() == api.continuous_summary(df, "v", distributed=False).collect()
     assert a.keys() == b.keys() and a["quantiles"] == pytest.approx(b["quantiles"]) and a["median"] == pytest.approx(b["median"])
     assert row(api.continuous_stats(df.limit(0), "v", distributed=True))["median"] is None
 
@@ -90,6 +94,10 @@ def test_balance(spark):
     assert x["smd"] == pytest.approx(2 / ((2 + 8) / 2) ** 0.5, abs=1e-4)
     assert plain["g", "p"]["prop1"] == 0.6667 and plain["g", "p"]["prop2"] == 0.5 and plain["g", "q"]["prop2"] == 0.0
     assert plain["b", "FALSE"]["prop1"] == 0.5 and plain["b", "TRUE"]["prop2"] == 1.0
+    many = api.compare_balance(a, b, ["x", "w"] * 5)
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert many.count() == 10 and plan.count("LogicalRDD") == 2  # one relation a side
+    assert api.compare_balance(a.limit(0), b.limit(0), ["x", "g"]).count() == 2
     heavy = {(r["variable"], r["level"]): r for r in api.compare_balance(a, b, ["x", "g"], weights1="w", weights2="w").collect()}
     assert heavy["x", None]["mean1"] == 2.5 and heavy["x", None]["sd1"] == pytest.approx(0.75**0.5, abs=1e-4)
     assert heavy["g", "p"]["prop1"] == 0.4
