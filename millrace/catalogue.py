@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,9 @@ from pyspark.sql import types as T
 from .functions import cleaning, dates, gazetteers, health_numbers, known_names, linkage, person_names
 from .functions.checks import q
 from .operators import balance, boost, crosstab, routing, summary, typing, uniqueness
+from .plans import engine
+from .scratch import scratch_root
+from .sources import importing, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -394,3 +398,89 @@ def municipality_register(spark, sf_dir):
 @query("SELECT 1150 AS n")
 def facility_register(spark, sf_dir):
     return gazetteers.health_facilities(spark).agg(F.countDistinct("name").alias("n"))
+
+
+# import, storage and engines
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("SELECT c_custkey::INTEGER AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def import_csv(spark, sf_dir):
+    folder = _place(spark, "csv")
+    _table(spark, sf_dir, "customer").write.option("header", True).csv(f"{folder}/Customers.CSV")
+    return importing.read_csv(spark, folder, file_name="Customers.CSV")
+
+
+@query("SELECT o_orderkey::INTEGER AS o_orderkey, o_orderstatus = 'F' AS done, 'said \"' || o_orderpriority || '\", twice' AS note, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS on_day, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders")
+def import_csv_types(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    day = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    raw = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "TRUE").otherwise("F").alias("done"), F.concat(F.lit('said "'), "o_orderpriority", F.lit('", twice')).alias("note"), day.alias("on day"), F.when(F.col("o_orderkey") % 7 == 0, "NA").otherwise(F.col("o_totalprice").cast("string")).alias("price"))
+    folder = _place(spark, "csv")
+    raw.write.option("header", True).option("escape", '"').csv(f"{folder}/orders.csv")
+    return importing.read_csv(spark, folder, prefix=f"catalogue_{uuid.uuid4().hex[:8]}").popitem()[1]
+
+
+@query("SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, 2 AS tables FROM part")
+def import_tables(spark, sf_dir):
+    folder = _place(spark, "tables")
+    _table(spark, sf_dir, "part").write.parquet(f"{folder}/b.parquet")
+    _table(spark, sf_dir, "region").write.parquet(f"{folder}/C.PARQUET")
+    found = importing.read_tables(spark, folder, prefix=f"catalogue_{uuid.uuid4().hex[:8]}")
+    return next(iter(found.values())).withColumn("tables", F.lit(len(found)))
+
+
+@query("SELECT * FROM events")
+def save_and_load(spark, sf_dir):
+    folder = _place(spark, "saved")
+    events = _table(spark, sf_dir, "events")
+    events.limit(1).write.parquet(f"{folder}/events.parquet")  # makes the folder; it is replaced
+    return store.load_table(spark, store.save_table(events, f"{folder}/events"))
+
+
+@query("""
+    SELECT s_suppkey, CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE round(abs((s_suppkey % 7) - 3.5) * 1000 + s_nationkey * 10, 3) END AS google_distance,
+           CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE round(abs((s_suppkey % 7) - 3.5) * 100, 3) END AS google_time FROM supplier""")
+def google_lookup(spark, sf_dir):
+    s = _table(spark, sf_dir, "supplier")
+    trips = s.select("s_suppkey", F.when(F.col("s_suppkey") % 13 == 0, 95.0).otherwise((F.col("s_suppkey") % 7).cast("double")).alias("a"), F.lit(0.0).alias("b"), F.lit(3.5).alias("c"), F.col("s_nationkey").cast("double").alias("d"))
+    route = lambda lo0, la0, lo1, la1: (abs(la0 - la1) * 1000 + lo1 * 10, abs(la0 - la1) * 100)
+    out = routing.google_travel(trips, "a", "b", "c", "d", api_key="none is asked", route=route, delay=0)
+    return out.select("s_suppkey", F.round("travel_distance", 3).alias("google_distance"), F.round("travel_time", 3).alias("google_time"))
+
+
+@query("SELECT 'regex' AS engine, true AS ready, NULL::VARCHAR AS error")
+def engine_status(spark, sf_dir):
+    status = engine.check_engine("regex")
+    return spark.createDataFrame([(status["engine"], status["ready"], status["error"])], "engine string, ready boolean, error string")
+
+
+# private parts of whole stored texts
+
+
+@query("SELECT doc_id, text || ' Their PHN: [PHN] was on file.' AS masked, 1 AS flag FROM documents WHERE text NOT ILIKE '%phn%'")
+def phn_documents(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").filter("not text ilike '%phn%'").withColumn("note", F.concat("text", F.lit(" Their PHN: 123456789 was on file.")))
+    return d.select("doc_id", health_numbers.mask_phn(F.col("note")).alias("masked"), health_numbers.flag_phn(F.col("note")).alias("flag"))
+
+
+@query("SELECT doc_id, text || ' then [NAME] called.' AS masked FROM documents WHERE text NOT ILIKE '%zorvik%' AND text NOT ILIKE '%quillan%'")
+def known_documents(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").filter("not text ilike '%zorvik%' and not text ilike '%quillan%'")
+    d = d.select("doc_id", F.concat("text", F.lit(" then ZORVIK Quillan called.")).alias("note"), F.lit("Zorvik").alias("first"), F.lit("Quillan").alias("last"))
+    return d.select("doc_id", known_names.exact_mask(F.col("note"), [F.col("first"), F.col("last")], "[NAME]").alias("masked"))
+
+
+@query("SELECT doc_id, 'Then [NAME] called.' || chr(10) || lower(text) AS masked FROM documents")
+def model_documents(spark, sf_dir):
+    """Names found by a model: here one that knows a single name, over whole lower-cased texts."""
+
+    def load():
+        return lambda texts, batch_size: [[(5, 19)] for _ in texts]
+
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Then Zorvik Quillan called.\n"), F.lower("text")).alias("note"))
+    out = person_names.mask_person_names(d, "note", apply_rules=False, output="masked", engine=engine.setup_engine("regex", load=load))
+    return out.select("doc_id", "masked")

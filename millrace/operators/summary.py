@@ -26,13 +26,15 @@ def category_levels(
     top_n: int | None = None,
     other_label: str = "Other",
     levels: Sequence[str] | None = None,
+    collation: str | None = None,
 ) -> DataFrame:
     """(ord, level, n, share, is_other, cell): a row for each displayed level, in display order.
 
     Null and NaN are missing: they count under ``missing_label`` or not at all. With ``top_n`` the most frequent levels
     stay (ties by name) and the rest are one level, always last, that takes the first free name from ``other_label``.
-    ``levels`` gives the order for ``sort_levels="levels"``. The data is aggregated once; what follows is as
-    small as the number of levels.
+    ``levels`` gives the order for ``sort_levels="levels"``; names are compared byte by byte or by ``collation`` (as "UNICODE" or
+    "fr"). The data is aggregated by level; with ``top_n`` only that many levels go on. Without it all of them are shown and
+    numbered in one task, so take it for columns of very many values.
     """
     checks.frame(df)
     checks.column(df, var_name)
@@ -48,24 +50,25 @@ def category_levels(
     counts = df.select(level.alias("level")).filter("level is not null").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("is_other", F.lit(False))
     every = Window.partitionBy(F.lit(0))
+    name = F.col("level") if collation is None else F.collate("level", checks.label(collation, "collation"))
     if top_n is not None:
-        ranked = counts.withColumn("rank", F.row_number().over(every.orderBy(F.desc("n"), "level"))).withColumn("of", F.count(F.lit(1)).over(every))
-        names = F.collect_set(F.when(F.col("rank") <= top_n, F.col("level"))).over(every)
+        top = counts.orderBy(F.desc("n"), name.asc()).limit(top_n)
+        whole = counts.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("of"))
+        kept = top.agg(F.sum("n").alias("kept"), F.collect_set("level").alias("names"))
         tries = [F.lit(other_label), *[F.lit(f"{other_label}_{k}") for k in range(1, top_n + 2)]]
-        free = F.element_at(F.filter(F.array(*tries), lambda x: ~F.array_contains(names, x)), 1)
-        ranked = ranked.withColumn("other", free)
-        gone = F.col("rank") > top_n
-        counts = ranked.groupBy(F.when(gone, F.col("other")).otherwise(F.col("level")).alias("level"), gone.alias("is_other")).agg(F.sum("n").alias("n"))
+        free = F.element_at(F.filter(F.array(*tries), lambda x: ~F.array_contains(F.col("names"), x)), 1)
+        rest = whole.crossJoin(F.broadcast(kept)).filter(F.col("of") > top_n)  # a row against a row
+        counts = top.unionByName(rest.select(free.alias("level"), (F.col("all") - F.col("kept")).alias("n"), F.lit(True).alias("is_other")))
     given = list(levels) if levels is not None and sort_levels == "levels" else None
     if sort_levels == "asc":
-        order = [F.asc("n"), F.asc("level")]
+        order = [F.asc("n"), name.asc()]
     elif sort_levels == "alpha":
-        order = [F.asc("level")]
+        order = [name.asc()]
     elif given:
         place = F.array_position(F.array(*[F.lit(x) for x in given]), F.col("level"))
-        order = [F.when(place == 0, F.lit(len(given) + 1)).otherwise(place), F.asc("level")]
+        order = [F.when(place == 0, F.lit(len(given) + 1)).otherwise(place), name.asc()]
     else:
-        order = [F.desc("n"), F.asc("level")]
+        order = [F.desc("n"), name.asc()]
     share = F.col("n") / F.sum("n").over(every)
     return counts.select(
         F.row_number().over(every.orderBy("is_other", *order)).alias("ord"),

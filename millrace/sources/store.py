@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import checks
+from ..scratch import file_system
 
 _CODECS = {True: "zstd", False: "uncompressed", "gzip": "gzip", "zstd": "zstd", "snappy": "snappy"}
 
@@ -24,18 +24,19 @@ def save_table(df: DataFrame, file: str, *, compress: bool | str = True, overwri
     if compress not in _CODECS:
         raise ValueError(f"`compress` must be True, False or one of: {', '.join(k for k in _CODECS if isinstance(k, str))}.")
     path = table_path(file)
-    if "://" not in path:
-        parent = os.path.dirname(path) or "."
-        if not os.path.isdir(parent):
-            raise FileNotFoundError(f"Directory does not exist: {parent}")
-        if os.path.exists(path) and not overwrite:
-            raise FileExistsError(f"File already exists: {path}")
+    fs, at = file_system(df.sparkSession, path)
+    parent = at.getParent()
+    if parent is not None and not fs.exists(parent):
+        raise FileNotFoundError(f"Directory does not exist: {parent.toString()}")
+    if fs.exists(at) and not overwrite:
+        raise FileExistsError(f"File already exists: {path}")
     df.write.mode("overwrite" if overwrite else "errorifexists").option("compression", _CODECS[compress]).parquet(path)
     return path
 
 
 def load_table(spark: SparkSession, file: str) -> DataFrame:
     path = table_path(file)
-    if "://" not in path and not os.path.exists(path):
+    fs, at = file_system(spark, path)
+    if not fs.exists(at):
         raise FileNotFoundError(f"File does not exist: {path}")
     return spark.read.parquet(path)

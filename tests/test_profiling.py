@@ -141,3 +141,20 @@ def test_types(spark):
 def test_aliases():
     assert api.mill_category_summary is api.category_summary and len(api.ALIASES) == len(api.__all__) / 2
     assert make_unique(["a", "a", "a_1", "a"]) == ["a", "a_2", "a_1", "a_3"]
+
+
+def test_collation_and_many_levels(spark):
+    df = spark.createDataFrame([(x,) for x in ("b", "A", "a", "B", "é", "z", "z")], "v string")
+    order = lambda **how: [r["level"] for r in api.category_levels(df, "v", sort_levels="alpha", **how).orderBy("ord").collect()]
+    assert order() == ["A", "B", "a", "b", "z", "é"] and order(collation="UNICODE") == ["a", "A", "b", "B", "é", "z"]
+    many = spark.range(50_000).selectExpr("cast(id % 40000 as string) as v")
+    got = api.category_levels(many, "v", top_n=2).orderBy("ord").collect()
+    assert [(r["level"], r["n"], r["is_other"]) for r in got] == [("0", 2, False), ("1", 2, False), ("Other", 49_996, True)]
+
+
+def test_repeated_values_as_rows(spark):
+    df = spark.createDataFrame([(x,) for x in ("a", "a", "b", None, None)], "v string")
+    assert sorted((str(r["value"]), r["n"]) for r in api.duplicate_values(df, "v").collect()) == [("None", 2), ("a", 2)]
+    assert [r["value"] for r in api.duplicate_values(df, "v", na_rm=True).collect()] == ["a"]
+    few, none = (api.check_unique(df, "v", max_listed=n).first() for n in (2, 1))
+    assert few["n_duplicates"] == none["n_duplicates"] == 2 and few["duplicates"] == [None, "a"] and none["duplicates"] is None
