@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import scratch_root
 from .chat import format_chats
 from .exact import exact_dedup
 from .fingerprints import fingerprint
@@ -14,7 +16,7 @@ from .mixing import mix_sources
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .repeats import find_repeats
-from .tokenids import pack_token_ids
+from .tokenids import pack_token_ids, write_packed
 from .toxicity import score_toxicity
 
 
@@ -43,7 +45,8 @@ def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_token_ids(_read(spark, sf_dir, "documents"), capacity=2048)
+    packed = pack_token_ids(_read(spark, sf_dir, "documents"), capacity=2048)
+    return write_packed(packed, f"{scratch_root(spark)}/packed-{uuid.uuid4().hex[:12]}")
 
 
 def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import base64
 import os
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -223,8 +225,8 @@ def pack_token_ids(
     token in it; putting pieces together by them gives all ids back.
 
     Documents are packed where they are read: a task packs its texts in groups of about ``group_bytes`` by best-fit
-    decreasing, so nothing is shuffled and no task needs more than a group in memory. Groups of this size leave less
-    than one part-filled row in a hundred, which is what packing across tasks could save. ``shard`` and ``row`` name a row.
+    decreasing, so nothing is shuffled and no task needs more than a group in memory. A full group leaves less than one
+    part-filled row in a hundred; the last group of a task is smaller, so many small splits leave more of them. ``shard`` and ``row`` name a row.
 
     Defined cases: null and empty texts have no tokens and appear in no row. The key keeps its type, a null key is kept as
     null. Repeated rows are packed as documents of their own. Special tokens' strings in a text are ordinary text. Very long
@@ -279,30 +281,32 @@ def _rows(shard: str, keys: pa.Array, ids: np.ndarray, sizes: np.ndarray, capaci
 
 
 def write_packed(packed: DataFrame, path: str) -> DataFrame:
-    """Writes a task's rows as one matrix: ``part-*.ids`` (rows x capacity), ``.cu`` (int32 lengths-prefixed cumulative
-    segment lengths) and ``.pos`` (int32 positions that start at 0 in every segment, prefixed likewise; padding has none).
+    """``packed`` with file and file_row, written as matrices by the tasks that make its rows.
 
-    ``path`` must be a folder that all executors share. A part's files are named by its content's first shard and row and
-    are renamed into place, so a retried task writes the same files again. Returns (file, rows); the work runs on an action.
+    A batch of rows is ``part-*.ids`` (rows x capacity ids), ``part-*.cu`` and ``part-*.resets`` (int32, for every row its
+    number of values and the values: cumulative segment lengths from 0, and the places where positions begin again at 0);
+    file and file_row name a row's matrix and place in it. ``path`` is a folder that all executors share, plain or a URI
+    of a file system that Arrow writes to. Files are named by their first shard and row and renamed into place, so a retried or
+    repeated task writes the same files again. The work runs on an action; an empty table writes nothing.
     """
+    base = path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
+    if base.startswith("file:/") and not base.startswith("file://"):
+        base = "file://" + base.removeprefix("file:")
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = pa_fs.FileSystem.from_uri(base)
+        fs.create_dir(folder, recursive=True)
         for b in batches:
             if not b.num_rows:
                 continue
-            os.makedirs(path, exist_ok=True)
             name = f"part-{b.column(0)[0].as_py()}-{b.column(1)[0].as_py():07d}"
-            blobs = b.column(3).to_pylist()
-            cus = [np.array(x, "<i4") for x in b.column(4).to_pylist()]
-            positions = []
-            for cu in cus:
-                segments = np.diff(cu)
-                positions.append(np.concatenate([np.arange(s, dtype="<i4") for s in segments] or [np.zeros(0, "<i4")]))
-            parts = {"ids": b"".join(blobs), "cu": b"".join(np.array([len(c)], "<i4").tobytes() + c.tobytes() for c in cus), "pos": b"".join(np.array([len(p)], "<i4").tobytes() + p.tobytes() for p in positions)}
-            for ext, data in parts.items():
-                with open(f"{path}/.{name}.{ext}.{os.getpid()}", "wb") as f:
+            each = lambda c: b"".join(np.array([len(x), *x], "<i4").tobytes() for x in b.column(c).to_pylist())
+            for ext, data in (("ids", b"".join(b.column(3).to_pylist())), ("cu", each(4)), ("resets", each(5))):
+                own = f"{folder}/.{name}.{ext}.{uuid.uuid4().hex[:8]}"
+                with fs.open_output_stream(own) as f:
                     f.write(data)
-                os.replace(f.name, f"{path}/{name}.{ext}")
-            yield pa.RecordBatch.from_arrays([pa.array([f"{name}.ids"]), pa.array([b.num_rows])], names=["file", "rows"])
+                fs.move(own, f"{folder}/{name}.{ext}")
+            more = [pa.array([f"{name}.ids"] * b.num_rows), pa.array(np.arange(b.num_rows, dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "file", "file_row"])
 
-    return packed.mapInArrow(run, "file string, rows long")
+    return packed.mapInArrow(run, T.StructType([*packed.schema.fields, T.StructField("file", T.StringType()), T.StructField("file_row", T.IntegerType())]))

@@ -118,16 +118,20 @@ def test_best_fit_decreasing_is_best_fit():
     assert tree.take(4) == (5, 0) and tree.take(2) == (3, 1) and tree.take(1) is None
 
 
-def test_written_matrices(spark, tmp_path):
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_written_matrices(spark, tmp_path, scheme):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     packed = pack_token_ids(docs, capacity=256)
-    files = write_packed(packed, str(tmp_path)).collect()
-    assert sum(r["rows"] for r in files) == packed.count()
-    for r in files:
-        assert (tmp_path / r["file"]).stat().st_size == r["rows"] * 256 * 2
-        pos = np.frombuffer((tmp_path / r["file"].replace(".ids", ".pos")).read_bytes(), "<i4")
-        assert pos[1] == 0
-    assert pack_token_ids(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    rows = write_packed(packed, f"{scheme}{tmp_path}/packed").collect()
+    assert len(rows) == packed.count() and not list((tmp_path / "packed").glob(".part*"))
+    for name in {r["file"] for r in rows}:
+        own = sorted((r for r in rows if r["file"] == name), key=lambda r: r["file_row"])
+        at = tmp_path / "packed" / name
+        assert np.frombuffer(at.read_bytes(), "<u2").reshape(-1, 256).tolist() == [np.frombuffer(r["input_ids"], "<u2").tolist() for r in own]
+        for ext, column in (("cu", "cu_seqlens"), ("resets", "position_resets")):
+            assert np.frombuffer(at.with_suffix(f".{ext}").read_bytes(), "<i4").tolist() == [x for r in own for x in (len(r[column]), *r[column])]
+    none = write_packed(pack_token_ids(spark.createDataFrame([], "doc_id long, text string")), f"{tmp_path}/none")
+    assert none.count() == 0
 
 
 # toxicity
