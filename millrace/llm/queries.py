@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..scratch import scratch_root
 from .chat import format_chats
@@ -65,6 +66,24 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint(_read(spark, sf_dir, "documents"))
 
 
+def packing_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op2: the pieces of every document."""
+    return packing(spark, sf_dir).select("doc_id", "piece", "start", "n_tokens")
+
+
+def packing_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op2's packs: that none is beyond the capacity and that slots and offsets follow one another without a gap."""
+    at = Window.partitionBy("pack_id").orderBy("slot")
+    p = packing(spark, sf_dir).filter("pack_id is not null")
+    p = p.withColumn("due", F.coalesce(F.sum("n_tokens").over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("nth", F.row_number().over(at) - 1)
+    return p.agg(F.sum("n_tokens").alias("tokens"), (F.max(F.col("pack_offset") + F.col("n_tokens")) <= 2048).alias("fits"), F.bool_and((F.col("due") == F.col("pack_offset")) & (F.col("nth") == F.col("slot"))).alias("dense"))
+
+
+def fingerprint_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op10: every document's number of terms and samples."""
+    return fingerprints(spark, sf_dir).select("doc_id", "n_terms", F.coalesce(F.size("signature"), F.lit(0)).alias("samples"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan,
     "op2_packing": packing,
@@ -76,9 +95,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing,
     "op9_toxicity": toxicity,
     "op10_fingerprints": fingerprints,
+    "packing_pieces": packing_pieces,
+    "packing_fill": packing_fill,
+    "fingerprint_terms": fingerprint_terms,
 }
 
 ORACLES: dict[str, str] = {
+    "packing_pieces": """
+        SELECT doc_id, piece::INTEGER AS piece, piece * 2048 AS start, least(2048, n - piece * 2048)::INTEGER AS n_tokens
+        FROM (SELECT doc_id, n, unnest(range(greatest(1, ceil(n / 2048.0))::BIGINT)) AS piece
+              FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+')) AS n FROM documents))
+    """,
+    "packing_fill": """
+        SELECT sum(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+')))::BIGINT AS tokens, true AS fits, true AS dense FROM documents
+    """,
+    "fingerprint_terms": """
+        SELECT doc_id, n::INTEGER AS n_terms, CASE WHEN n > 0 THEN 64 ELSE 0 END AS samples
+        FROM (SELECT doc_id, len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\\x{80}-\\x{10FFFF}]+'))) AS n FROM documents)
+    """,
     "op4_exact_dedup": """
         SELECT doc_id, text, lang, source, n_chars, copies
         FROM (SELECT *, count(*) OVER (PARTITION BY text) AS copies,
