@@ -222,8 +222,10 @@ class Scanner:
 
     def _grown(self, words: list[str], window: tuple[int, int], around: tuple[int, int], name: str, places: dict[str, list[int]]) -> list[tuple[int, int]]:
         """The longest alignment of a window (of equals that of the smallest), of the part that aligned grown to the right over each word
-        that it lacks, and of that grown to the left."""
+        that it lacks, and of that grown to the left. A match isn't grown where no more than half of the words that it would span
+        in addition align: they are of another notice."""
         t, counts = self.templates[name], self.counts[name]
+        need, span = self.need(t), lambda pairs: pairs[-1][0] - pairs[0][0]
         align = lambda a, z: [(a + i, j) for i, j in patience(words[a:z], t)]
         best = align(*window)
         for right in (True, False):
@@ -239,7 +241,8 @@ class Scanner:
                     spots += at[k : k + lack] if right else at[max(0, k - lack) : k]
             for s in sorted((s for s in spots if around[0] <= s < around[1]), reverse=not right):
                 wider = align(i, s + 1) if right else align(s, j + 1)
-                if len(wider) > len(best):
+                gain, added = len(wider) - len(best), span(wider) - span(best)
+                if gain > 0 and (len(best) < need or 2 * gain > added):
                     best = wider
         return best
 
