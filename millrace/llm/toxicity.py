@@ -18,6 +18,8 @@ from .words import Words, slices
 
 #: Texts that are searched for at once: their scores against all examples are held together.
 _BATCH = 128
+#: Examples that are indexed at once.
+_PART = 1024
 #: Beyond rounding of sums in single precision, so that no tie is lost.
 _SLACK = np.float32(4e-6)
 
@@ -92,32 +94,47 @@ class BlockMaxIndex:
     bound reaches the k-th best sum does. The rest can't hold one of the k nearest.
     """
 
-    def __init__(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, block: int = 32, dense: int = 16) -> None:
-        """``bounds[i]:bounds[i + 1]`` are example i's terms and weights."""
+    def __init__(self, bounds: np.ndarray, terms: np.ndarray, weights: Callable[[int, int], np.ndarray], n_terms: int, block: int = 32, dense: int = 16) -> None:
+        """``bounds[i]:bounds[i + 1]`` are example i's terms; ``weights(a, z)`` gives those of examples a to z, which are taken a
+        few at a time, so hardly more than the lists themselves is held."""
         self.n = n = len(bounds) - 1
-        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
-        longs = np.flatnonzero(np.bincount(terms, minlength=n_terms) * dense > n)
+        df = np.bincount(terms, minlength=n_terms)
+        longs = np.flatnonzero(df * dense > n)
         self.long_of = np.full(n_terms, -1, np.int32)
         self.long_of[longs] = np.arange(len(longs))
-        of = self.long_of[terms]
-        on = np.flatnonzero(of >= 0)
-        # examples whose weightiest long term is the same lie together: texts of one language share blocks
         lead = np.full(n, len(longs))
-        by = on[np.lexsort((weights[on], row[on]))]
-        lead[row[by]] = of[by]  # an example's last is its weightiest
+
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+            for a in range(0, n, _PART):
+                z = min(n, a + _PART)
+                t = terms[bounds[a] : bounds[z]]
+                yield np.repeat(np.arange(a, z), np.diff(bounds[a : z + 1])), t, weights(a, z), self.long_of[t]
+
+        # examples whose weightiest long term is the same lie together: texts of one language share blocks
+        for row, _, w, of in parts():
+            on = np.flatnonzero(of >= 0)
+            by = on[np.lexsort((w[on], row[on]))]
+            lead[row[by]] = of[by]  # an example's last is its weightiest
         self.example = np.lexsort((np.arange(n), lead))  # place in the blocks -> example
         self.place = np.empty(n, np.int64)
         self.place[self.example] = np.arange(n)
-        row = self.place[row].astype(np.int32)
         blocks = -(-n // block)
         lists = np.zeros((blocks * block, len(longs)), np.float32)
-        lists[row[on], of[on]] = weights[on]
+        df[longs] = 0
+        self.ptr = np.r_[0, np.cumsum(df)]
+        self.post, self.value = np.empty(self.ptr[-1], np.int32), np.empty(self.ptr[-1], np.float32)
+        free = self.ptr[:-1].copy()
+        for row, t, w, of in parts():
+            on = of >= 0
+            lists[self.place[row[on]], of[on]] = w[on]
+            short = np.flatnonzero(~on)
+            short = short[np.argsort(t[short], kind="stable")]
+            term, first, size = np.unique(t[short], return_index=True, return_counts=True)
+            to = np.arange(len(short)) + np.repeat(free[term] - first, size)
+            self.post[to], self.value[to] = self.place[row[short]], w[short]
+            free[term] += size
         self.lists = lists.reshape(blocks, block, len(longs))
         self.maxima = np.ascontiguousarray(self.lists.max(axis=1).T)
-        short = np.flatnonzero(of < 0)
-        short = short[np.argsort(terms[short], kind="stable")]
-        self.post, self.value = row[short], weights[short].astype(np.float32)
-        self.ptr = np.searchsorted(terms[short], np.arange(n_terms + 1))
 
     def search(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For every query (examples, cosines) of its k nearest with cosine above 0, but for the example ``without``;
@@ -183,12 +200,14 @@ class Examples:
     @property
     def index(self) -> BlockMaxIndex:
         if self._index is None:
-            self._index = BlockMaxIndex(self.bounds, self.terms, self.vectors(self.bounds, self.terms, self.tf), self.known.size)
+            of = lambda x, a, z: x[self.bounds[a] : self.bounds[z]]
+            weights = lambda a, z: self.vectors(self.bounds[a : z + 1] - self.bounds[a], of(self.terms, a, z), of(self.tf, a, z))
+            self._index = BlockMaxIndex(self.bounds, self.terms, weights, self.known.size)
         return self._index
 
     def vectors(self, bounds: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
         """Unit vectors of texts: weights of their terms."""
-        w = ((1 + np.log(tf)) * self.idf[terms]).astype(np.float32)
+        w = ((1 + np.log(tf, dtype=np.float64)) * self.idf[terms]).astype(np.float32)
         row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         norm = np.sqrt(np.bincount(row, w.astype(np.float64) ** 2, minlength=len(bounds) - 1))
         return (w / norm[row]).astype(np.float32)
@@ -292,7 +311,7 @@ def fit_toxicity(
     del h, number
     bounds = np.r_[0, np.cumsum(size[order])]
     at = np.arange(bounds[-1], dtype=np.int32) + np.repeat(((np.cumsum(size) - size)[order] - bounds[:-1]).astype(np.int32), size[order])
-    given = Examples(distinct, bounds, terms[at], tf[at], ids, y)
+    given = Examples(distinct, bounds, terms[at], tf[at].astype(np.min_scalar_type(int(tf.max()))), ids, y)
     del terms, tf, at
     sent = spark.sparkContext.broadcast(given.known)
 

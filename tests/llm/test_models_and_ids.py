@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from millrace.llm import toxicity
 from millrace.llm.fingerprints import fingerprint, similarity
 from millrace.llm.tokenids import TOKENIZER, CapacityTree, best_fit_decreasing, encoder_at, pack_token_ids, write_packed
 from millrace.llm.toxicity import BlockMaxIndex, fit_toxicity, keep_clean, score_toxicity
@@ -137,14 +138,16 @@ def test_written_matrices(spark, tmp_path, scheme):
 # toxicity
 
 
-def test_search_equals_full_scan():
+def test_search_equals_full_scan(monkeypatch):
     rng = np.random.default_rng(2)
     for n, k in ((300, 9), (40, 15), (7, 15), (1, 1)):
         v = rng.random((n, 60)).astype(np.float32) * (rng.random((n, 60)) < np.r_[np.full(10, 0.6), np.full(50, 0.05)])
         v[:, 0] += 0.01
         v = np.round(v / np.linalg.norm(v, axis=1, keepdims=True), 2).astype(np.float32)  # ties
         row, col = np.nonzero(v)
-        index = BlockMaxIndex(np.searchsorted(row, np.arange(n + 1)), col, v[row, col], 60, block=16)
+        bounds = np.searchsorted(row, np.arange(n + 1))
+        monkeypatch.setattr(toxicity, "_PART", 64)
+        index = BlockMaxIndex(bounds, col, lambda a, z: v[row, col][bounds[a] : bounds[z]], 60, block=16)
         assert 0 < index.lists.shape[2] < 60
         q = [np.flatnonzero(rng.random(60) < 0.2) for _ in range(150)] + [np.zeros(0, np.int64)]
         w = [rng.random(len(t)).astype(np.float32) for t in q]
