@@ -157,11 +157,12 @@ class Scanner:
             for pairs in self.aligned([w for _, w in own], name):
                 found.append((len(pairs) / len(t), len(pairs), name, own[pairs[0][0]][0], own[pairs[-1][0]][0], len(t)))
         found.sort(key=lambda x: (-x[1] * x[0], -x[0], x[2], x[3], x[4]))
-        kept: list = []
+        kept: list = []  # by first word, so only the neighbours of a match can overlap it
         for x in found:
-            if all(x[4] < y[3] or x[3] > y[4] for y in kept):
-                kept.append(x)
-        return [(x[2], x[0], x[1], x[5], x[3], x[4]) for x in sorted(kept, key=lambda x: (x[3], x[4]))]
+            i = bisect_left(kept, x[3], key=lambda y: y[3])
+            if (not i or kept[i - 1][4] < x[3]) and (i == len(kept) or x[4] < kept[i][3]):
+                kept.insert(i, x)
+        return [(x[2], x[0], x[1], x[5], x[3], x[4]) for x in kept]
 
     def aligned(self, words: list[str], name: str) -> list[list[tuple[int, int]]]:
         """Alignments of ``need`` words and more in ``words``, which are the text's words that the template has (no other
