@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from . import checks
 
-_NUMBER = r"(?<![0-9])(?:[0-9]{5}\s*-\s*[0-9]{4}|[0-9]{9})(?![0-9])"
+_BEGIN = r"(?=[0-9]{5})(?<![0-9])"
+_NUMBER = r"(?:[0-9]{5}\s*-\s*[0-9]{4}|[0-9]{9})(?![0-9])"
 _LABEL = r"(?i:(?<![A-Za-z0-9_])PHN(?![A-Za-z0-9_]))"
 
 
 def pattern(proximity: int = 20) -> str:
     """Nine digits, or five and four around a hyphen, with the label at most ``proximity`` characters before or after,
-    none of them a digit or a line end. One pattern, so a replacement can't serve as a label."""
+    none of them a digit or a line end. One pattern, so a replacement can't serve as a label. What stands before is looked
+    at only where a number begins."""
     gap = f"[^0-9\\r\\n]{{0,{checks.whole(proximity, 'proximity')}}}"
-    return f"(?<={_LABEL}{gap}){_NUMBER}|{_NUMBER}(?={gap}{_LABEL})"
+    return f"{_BEGIN}(?:(?<={_LABEL}{gap}){_NUMBER}|{_NUMBER}(?={gap}{_LABEL}))"
 
 
 def mask_phn(text: Column, replacement: str = "[PHN]", proximity: int = 20) -> Column:

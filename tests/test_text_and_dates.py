@@ -145,3 +145,14 @@ def test_detect_rows(spark):
     got = api.detect_person_names(df, "note", "id", explain=True).orderBy("row_id", "start").collect()
     assert [tuple(r) for r in got] == [(7, "John Smith", 1, 10, "title_case_pair", "low"), (9, "Dr. Ann Lee", 3, 13, "titled_name", "high"), (9, "Bob Ray", 19, 25, "title_case_pair", "low")]
     assert api.detect_person_names(df, "note", "id").columns == ["row_id", "detected_name", "start", "end"]
+
+
+def test_health_numbers_at_the_end_of_stored_texts(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = ["plain", 'token = "94a272397683e"', "zip 12345-6789", "987654321", "9" * 10, "line\n", "", None, "the PHN"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["masked"], r["flag"]) for r in entry.queries()["phn_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i: (f"{t} Their PHN: [PHN] was on file.", 1) for i, t in enumerate(texts[:7])}  # as its SQL has it
+    # in one line with the label such digits are a number beside it
+    assert column(spark, ['token = "94a272397683e" Their PHN: 123456789.'], "string", lambda c, k: api.mask_phn(c)) == ['token = "94a[PHN]e" Their PHN: [PHN].']
