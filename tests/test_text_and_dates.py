@@ -156,3 +156,18 @@ def test_health_numbers_at_the_end_of_stored_texts(spark, tmp_path):
     assert got == {i: (f"{t} Their PHN: [PHN] was on file.", 1) for i, t in enumerate(texts[:7])}  # as its SQL has it
     # in one line with the label such digits are a number beside it
     assert column(spark, ['token = "94a272397683e" Their PHN: 123456789.'], "string", lambda c, k: api.mask_phn(c)) == ['token = "94a[PHN]e" Their PHN: [PHN].']
+
+
+def test_name_patterns_are_tried_at_few_places():
+    engine = default_rules().engine()
+    prose = "The onshin thnd heart, rate 12 was (ok). Then éaire\n" * 200
+    texts = [prose, "Doe , Jane seen; xDoe, Jane; _Doe, J. and A.B, C or O'Neil-Smith,\nANNE Marie", "Jane  Q. Doe, MacDonald Ann-Marie\tDoe ÉJane Doe 1Jane Doe", "A-B-C-D, E", "", "JANE", "Jane,", "Jane, É"]
+    for rule in ("last_first", "title_case_pair"):
+        guided = engine.patterns[rule]
+        assert sum(1 for _ in guided.begin.finditer(prose)) == 0  # the pattern isn't run at any word of such a text
+        for t in texts:
+            assert [m.span() for m in guided.finditer(t)] == [m.span() for m in guided.pattern.finditer(t)]
+            for at in range(len(t)) if len(t) < 100 else [0]:
+                a, b = guided.search(t, at), guided.pattern.search(t, at)
+                assert (a and a.span()) == (b and b.span())
+    assert [engine.flag(t) for t in (prose, prose + "Jane Doe", "Not Feeling Well", "NOT  FEELING, Bus Stop", "signed by Doe")] == [0, 1, 0, 0, 1]
