@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import checks
-from .translit import ascii_column
 
 PLACEHOLDERS = ("ANONYMOUS", "N/A", "NA", "NONE", "NOT APPLICABLE", "NOT AVAILABLE", "NOT PROVIDED", "NULL", "UNIDENTIFIED", "UNK", "UNKNOWN")
 _NEVER = "(?!)"
@@ -43,8 +43,14 @@ def name_pattern(names: Sequence[Column]) -> Column:
     return F.when(some, F.concat(F.lit(f"(?i)(?<!{edge})(?:"), F.concat_ws("|", full, comma, *parts), F.lit(f")(?!{edge})")))
 
 
+def _with(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is worked out once a row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
 def _normal(token: Column) -> Column:
-    return F.regexp_replace(F.lower(ascii_column(token)), "[^a-z]", "")
+    """A token's letters in lower case; tokens have no accents."""
+    return F.translate(F.lower(token), "-'", "")
 
 
 def _tokens(text: Column) -> Column:
@@ -92,21 +98,28 @@ def exact_flag(text: Column, names: Sequence[Column]) -> Column:
 
 def similar_mask(text: Column, names: Sequence[Column], replacement: str, max_distance: int, min_chars: int) -> Column:
     """Words within ``max_distance`` of a known one are replaced; the text is rebuilt from its words and what lies between."""
-    known = _known_tokens(names, min_chars)
     least = max(2, min_chars - max_distance)
+    own = [re.sub("[-']", "", t.lower()) for t in re.findall("[A-Za-z]+(?:[-'][A-Za-z]+)*", replacement)]
     words = F.regexp_extract_all(text, F.lit(f"({_TOKEN})"), F.lit(1))
     between = F.split(text, _TOKEN, -1)
-    own = _tokens(F.lit(replacement))
-    put = F.transform(words, lambda w: F.when((F.length(_normal(w)) >= least) & ~F.array_contains(own, _normal(w)) & _near(_normal(w), known, max_distance), F.lit(replacement)).otherwise(w))
-    pieces = F.zip_with(between, F.concat(put, F.array(F.lit(""))), lambda b, w: F.concat(b, w))
-    return F.when(_filled(text) & (F.size(known) > 0), F.array_join(pieces, "")).otherwise(text)
+
+    def masked(known: Column) -> Column:
+        hit = lambda t: (F.length(t) >= least) & ~t.isin(own) & _near(t, known, max_distance)
+        put = F.transform(words, lambda w: F.when(_with(_normal(w), hit), F.lit(replacement)).otherwise(w))
+        pieces = F.zip_with(between, F.concat(put, F.array(F.lit(""))), lambda b, w: F.concat(b, w))
+        return F.when(F.size(known) > 0, F.array_join(pieces, "")).otherwise(text)
+
+    return F.when(_filled(text), _with(_known_tokens(names, min_chars), masked)).otherwise(text)
 
 
 def similar_flag(text: Column, names: Sequence[Column], max_distance: int, min_chars: int) -> Column:
-    known = _known_tokens(names, min_chars)
     least = max(2, min_chars - max_distance)
-    hit = F.exists(_tokens(text), lambda t: (F.length(t) >= least) & _near(t, known, max_distance))
-    return F.when(_filled(text) & (F.size(known) > 0), hit.cast("int")).otherwise(F.lit(0))
+
+    def found(known: Column) -> Column:
+        hit = F.exists(_tokens(text), lambda t: (F.length(t) >= least) & _near(t, known, max_distance))
+        return F.when(F.size(known) > 0, hit.cast("int")).otherwise(F.lit(0))
+
+    return F.when(_filled(text), _with(_known_tokens(names, min_chars), found)).otherwise(F.lit(0))
 
 
 def mask_known_names(df: DataFrame, text: str, name_columns: Sequence[str] = ("first_name", "last_name"), *, replacement: str = "[NAME]", max_distance: int = 1, min_chars: int = 5, output: str = "masked_text") -> DataFrame:

@@ -171,3 +171,16 @@ def test_name_patterns_are_tried_at_few_places():
                 a, b = guided.search(t, at), guided.pattern.search(t, at)
                 assert (a and a.span()) == (b and b.span())
     assert [engine.flag(t) for t in (prose, prose + "Jane Doe", "Not Feeling Well", "NOT  FEELING, Bus Stop", "signed by Doe")] == [0, 1, 0, 0, 1]
+
+
+def test_known_names_of_one_file_are_masked_in_many_tasks(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.range(1000).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("known_mask", "known_flag"):
+        out = entry.queries()[name](spark, str(tmp_path))
+        sizes = out.rdd.glom().map(len).collect()
+        assert sum(sizes) == 1000 and max(sizes) <= 200
+    odd = spark.createDataFrame([("Jonathon O'Neill, ONEIL; nname", "Jonathan", "O'Neil"), (" ", "Jane", "Smith"), (None, "Jane", "Smith"), ("Names of N/A", "N/A", None)], "text string, first_name string, last_name string")
+    assert [r[0] for r in api.mask_known_names(odd, "text", replacement="nname").select("masked_text").collect()] == ["nname nname, nname; nname", " ", None, "Names of N/A"]
+    assert [r[0] for r in api.flag_known_names(odd, "text").select("name_flag").collect()] == [1, 0, 0, 0]
